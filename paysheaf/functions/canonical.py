@@ -10,19 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import code_key, compact_key, first_rule, label_key, text, trim_ws
+from .text import (
+    bare_label_key, code_key_of, compact_key, first_rule, first_rule_of, label_key, lookup, preferred_key, text, trim_ws,
+)
 
-STAGED = ["_label", "_code", "_ref", "_val", "_lkey", "_ckey", "_sid"]
+STAGED = ["_label", "_code", "_ref", "_val", "_bare", "_compact", "_lkey", "_ckey", "_sid"]
+
+
+SUMMARY_RULES = [(sid, pattern) for sid, _, pattern in vocab.SUMMARIES]
 
 
 def summary_id(label: Column) -> Column:
     """Id of the summary row a label names, null for other labels."""
-    return first_rule(compact_key(label), [(sid, pattern) for sid, _, pattern in vocab.SUMMARIES])
+    return first_rule(compact_key(label), SUMMARY_RULES)
 
 
 def summary_name(sid: Column) -> Column:
-    pairs = [F.lit(v) for sid_, label, _ in vocab.SUMMARIES for v in (sid_, label)]
-    return F.try_element_at(F.create_map(*pairs), sid)
+    return F.try_element_at(lookup({i: label for i, label, _ in vocab.SUMMARIES}), sid)
 
 
 def flag(c: Column) -> Column:
@@ -31,19 +35,24 @@ def flag(c: Column) -> Column:
 
 def stage(df: DataFrame) -> DataFrame:
     """Trimmed texts and keys of code, label, reference and value."""
-    return df.withColumns(
-        {
-            "_label": trim_ws(F.col("label")),
-            "_code": trim_ws(F.col("code")),
-            "_ref": trim_ws(F.col("reference")),
-            "_val": trim_ws(F.col("value")),
-        }
-    ).withColumns(
-        {
-            "_lkey": label_key(F.col("_label")),
-            "_ckey": code_key(F.col("_code")),
-            "_sid": summary_id(F.col("_label")),
-        }
+    return (
+        df.withColumns(
+            {
+                "_label": trim_ws(F.col("label")),
+                "_code": trim_ws(F.col("code")),
+                "_ref": trim_ws(F.col("reference")),
+                "_val": trim_ws(F.col("value")),
+            }
+        )
+        .withColumn("_bare", bare_label_key(F.col("_label")))
+        .withColumn("_compact", F.replace(F.col("_bare"), F.lit(" "), F.lit("")))
+        .withColumns(
+            {
+                "_lkey": preferred_key(F.col("_bare")),
+                "_ckey": code_key_of(F.col("_code")),
+                "_sid": first_rule_of(F.col("_compact"), SUMMARY_RULES),
+            }
+        )
     )
 
 

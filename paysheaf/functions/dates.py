@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import blank_to_null, text, trim_ws
+from .text import lookup, text, trim_ws
 
 
 def clean_month(c: Column) -> Column:
@@ -43,8 +43,7 @@ def is_non_sequential(previous: Column, current: Column) -> Column:
 
 
 def _month_of(prefix: Column) -> Column:
-    pairs = [F.lit(v) for row in vocab.MONTHS.items() for v in row]
-    return F.try_element_at(F.create_map(*pairs), prefix)
+    return F.try_element_at(lookup(vocab.MONTHS), prefix)
 
 
 def _full_year(year: Column) -> Column:

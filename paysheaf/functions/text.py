@@ -83,22 +83,40 @@ def bare_label_key(label: Column) -> Column:
     return F.trim(words)
 
 
+def lookup(pairs: dict[str, str]) -> Column:
+    """A constant map, parsed in one step."""
+    quoted = ", ".join("'" + v.replace("'", "\\'") + "'" for pair in pairs.items() for v in pair)
+    return F.expr(f"map({quoted})")
+
+
+def preferred_key(bare: Column) -> Column:
+    """The key that stands for all spellings of ``bare`` (reads ``bare`` twice)."""
+    variants = {k: v for k, v in vocab.LABEL_ALIASES.items() if k != v}
+    return F.coalesce(F.try_element_at(lookup(variants), bare), bare)
+
+
 def label_key(label: Column) -> Column:
     """Comparable key of a label; known spelling variants share one key."""
-    pairs = [F.lit(v) for alias in vocab.LABEL_ALIASES.items() if alias[0] != alias[1] for v in alias]
-    return let(bare_label_key(label), lambda key: F.coalesce(F.try_element_at(F.create_map(*pairs), key), key))
+    return let(bare_label_key(label), preferred_key)
 
 
 def compact_key(label: Column) -> Column:
     return F.regexp_replace(F.lower(strip_accents(text(label))), "[^a-z0-9]", "")
 
 
+def code_key_of(code: Column) -> Column:
+    """``code_key`` of a trimmed column (reads it several times)."""
+    digits = F.ltrim(code, F.lit("0"))
+    return (
+        F.when(code == "", "")
+        .when(code.rlike("^[0-9]+$"), F.when(digits == "", "0").otherwise(digits))
+        .otherwise(label_key(code))
+    )
+
+
 def code_key(code: Column) -> Column:
     """Numeric codes lose leading zeros, other codes become label keys."""
-    return let(
-        trim_ws(code),
-        lambda c: F.when(c.rlike("^[0-9]+$"), F.regexp_replace(c, "^0+(?=.)", "")).otherwise(label_key(c)),
-    )
+    return let(trim_ws(code), code_key_of)
 
 
 def clean_label(c: Column) -> Column:
@@ -117,16 +135,17 @@ def lines_of(page_text: Column) -> Column:
     return F.split(text(page_text), "\n")
 
 
-def first_rule(key: Column, rules: list[tuple[str, str]]) -> Column:
-    """Value of the first (value, pattern) rule whose pattern is found in ``key``."""
+def first_rule_of(key: Column, rules: list[tuple[str, str]]) -> Column:
+    """``first_rule`` of a plain column; most keys match nothing and stop at the first test."""
+    chain = F.when(~key.rlike("|".join(pattern for _, pattern in rules)), F.lit(None))
+    for value, pattern in rules:
+        chain = chain.when(key.rlike(pattern), F.lit(value))
+    return chain
 
-    def choose(k: Column) -> Column:
-        chain = F.when(k.rlike(rules[0][1]), F.lit(rules[0][0]))
-        for value, pattern in rules[1:]:
-            chain = chain.when(k.rlike(pattern), F.lit(value))
-        return chain
 
-    return let(key, choose)
+def first_rule(key: Column, rules: list[tuple[str, str]]) -> Column:
+    """Value of the first (value, pattern) rule whose pattern is found in ``key``."""
+    return let(key, lambda k: first_rule_of(k, rules))
 
 
 def any_of(patterns: list[str]) -> str:
@@ -135,9 +154,9 @@ def any_of(patterns: list[str]) -> str:
 
 
 def payroll_type_label(payroll_type: Column) -> Column:
-    pairs = [F.lit(v) for row in vocab.PAYROLL_TYPE_LABELS.items() for v in row]
     return F.coalesce(
-        F.try_element_at(F.create_map(*pairs), text(payroll_type)), F.lit(vocab.PAYROLL_TYPE_LABELS["normal"])
+        F.try_element_at(lookup(vocab.PAYROLL_TYPE_LABELS), text(payroll_type)),
+        F.lit(vocab.PAYROLL_TYPE_LABELS["normal"]),
     )
 
 

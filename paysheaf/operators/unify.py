@@ -32,6 +32,15 @@ def split_unknown(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.where(F.col("competency").isNotNull()), keyed.where(F.col("competency").isNull())
 
 
+def _open_flag(df: DataFrame) -> Column:
+    """The item still needs a decision: flagged, conflicting or without a key."""
+    stated = [canonical.flag(F.col(c)) for c in ("review_required", "conflict") if c in df.columns]
+    flagged = F.col("canonical_key").isNull()
+    for s in stated:
+        flagged = flagged | s
+    return flagged
+
+
 def _position() -> Column:
     return F.struct("page_ord", "item_ord")
 
@@ -108,13 +117,13 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
     opening = known.groupBy(*COMPETENCY).agg(F.min("page_ord").alias("opening_page"))
     pages = known.select("doc_id", "page_ord", "competency").join(opening, COMPETENCY)
     rows = (
-        items.join(pages, ["doc_id", "page_ord"])
+        items.withColumn("open", _open_flag(items)).drop("month", "year").join(pages, ["doc_id", "page_ord"])
         .withColumn("group_key", canonical.group_key(F.lit("field"), F.col("canonical_key"), F.col("label")))
         .withColumn("late", F.col("page_ord") > F.col("opening_page"))
         .withColumns({c: text(F.col(c)) for c in ("code", "label", "reference", "value", "type")})
         .select(
             *GROUP, "page_ord", "item_ord", "late", "canonical_key", "code", "label", "reference", "value", "type",
-            "evidence_type", "confidence",
+            "evidence_type", "confidence", "open",
         )
     )
     rows = shared(rows)
@@ -132,7 +141,7 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
     # one row per (key, value, reference): the first of equals stays
     final_value = F.when(F.col("absorbed"), F.col("v2")).otherwise(F.col("value"))
     final_ref = F.when(F.col("absorbed"), F.col("r2")).otherwise(F.col("reference"))
-    own = F.struct(pos.alias("pos"), "absorbed", "code", "label", "type", "canonical_key", "evidence_type", "confidence")
+    own = F.struct(pos.alias("pos"), "absorbed", "code", "label", "type", "canonical_key", "evidence_type", "confidence", "open")
     order = F.struct("page_ord", "item_ord")
     kept = (
         marked.withColumns({"final_value": final_value, "final_ref": final_ref})
@@ -163,6 +172,7 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
         "value",
         F.col("own.evidence_type").alias("evidence_type"),
         F.col("own.confidence").alias("confidence"),
+        F.col("own.open").alias("open"),
     )
     return segmented.numbered(
         shared(flat), GROUP, ["page_ord", "item_ord"], segmented.page_segment(), out="occurrence"
@@ -175,7 +185,7 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
     opening = known.groupBy(*COMPETENCY).agg(F.min("page_ord").alias("opening_page"))
     pages = known.select("doc_id", "page_ord", "competency").join(opening, COMPETENCY)
     rows = (
-        items.join(pages, ["doc_id", "page_ord"])
+        items.withColumn("open", _open_flag(items)).drop("month", "year").join(pages, ["doc_id", "page_ord"])
         .withColumn("group_key", canonical.group_key(F.lit("base"), F.col("canonical_key"), F.col("label")))
         .withColumns({c: text(F.col(c)) for c in ("label", "reference", "value")})
     )
@@ -195,7 +205,7 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
     )
     fresh = named.join(leaders, [*COMPETENCY, "lk"], "left").where(~F.coalesce(repeat, F.lit(False)))
     first = fresh.groupBy(*GROUP, "value", "reference").agg(
-        F.min(F.struct(_position().alias("pos"), "label", "canonical_key", "evidence_type", "confidence")).alias("own")
+        F.min(F.struct(_position().alias("pos"), "label", "canonical_key", "evidence_type", "confidence", "open")).alias("own")
     )
     flat = first.select(
         *GROUP,
@@ -207,6 +217,7 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
         "value",
         F.col("own.evidence_type").alias("evidence_type"),
         F.col("own.confidence").alias("confidence"),
+        F.col("own.open").alias("open"),
     )
     return segmented.numbered(
         flat, GROUP, ["page_ord", "item_ord"], segmented.page_segment(), out="occurrence"
@@ -247,6 +258,13 @@ def source_types(records: DataFrame) -> DataFrame:
     )
 
 
+def unified_items(items: DataFrame, records: DataFrame) -> DataFrame:
+    """Fields and bases of every unified record in one tall table."""
+    fields = unify_fields(items.where(F.col("kind") == "field"), records).withColumn("kind", F.lit("field"))
+    bases = unify_bases(items.where(F.col("kind") == "base"), records).withColumn("kind", F.lit("base"))
+    return fields.unionByName(bases, allowMissingColumns=True)
+
+
 def provenance(records: DataFrame) -> DataFrame:
     """Every source record of a unified competency with its position, one row each."""
     known, _ = split_unknown(records)

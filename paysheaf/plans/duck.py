@@ -125,13 +125,14 @@ view(
     "v_raw",
     ["labels20", "v_page"],
     f"""
-  SELECT p.doc_id, p.page_ord, p.record_key, l.*
+  SELECT p.doc_id, p.page_ord, p.record_key, CASE WHEN (l_linenumber + page_ord) % 2 = 0 THEN label_b ELSE label_a END AS label,
+         l.* EXCLUDE (l_linenumber, label_a, label_b)
   FROM (SELECT l_orderkey AS order_key,
           CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 10000000 + l_suppkey AS item_ord,
           CASE WHEN l_partkey % 17 = 0 OR l_suppkey % 20 >= 17 THEN ''
                WHEN l_orderkey % 2 = 1 THEN lpad(CAST(l_suppkey % 20 AS VARCHAR), 3, '0')
                ELSE CAST(l_suppkey % 20 AS VARCHAR) END AS code,
-          CASE WHEN l_linenumber % 2 = 0 THEN label_b ELSE label_a END AS label,
+          l_linenumber, label_a, label_b,
           CASE WHEN l_partkey % 89 = 0 THEN amount ELSE quantity END AS reference,
           CASE WHEN l_partkey % 89 = 0 THEN '' ELSE amount END AS value,
           CASE WHEN l_partkey % 19 <> 0 THEN CASE WHEN l_returnflag = 'R' THEN 'desconto' ELSE 'provento' END END AS type,

@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # item rows are small and costly to read: keep more, smaller partitions after a shuffle
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+    # HotSpot never compiles methods above 8000 bytes; such stages run faster operator by operator
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -103,7 +103,7 @@ def raw_items(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None)
         number.cast("string")
     )
     code = F.when((F.col("l_partkey") % 17 == 0) | (number >= 17), "").otherwise(printed)
-    label = F.when(F.col("l_linenumber") % 2 == 0, _pick([b for _, b in LABELS], number)).otherwise(
+    label = F.when((F.col("l_linenumber") + F.col("page_ord")) % 2 == 0, _pick([b for _, b in LABELS], number)).otherwise(
         _pick([a for a, _ in LABELS], number)
     )
     amount = F.when(F.col("l_linenumber") == 7, "0,00").otherwise(
@@ -118,8 +118,10 @@ def raw_items(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None)
         + F.col("l_partkey") * F.lit(10**7)
         + F.col("l_suppkey")
     )
-    items = line.select(
-        F.col("l_orderkey").alias("order_key"),
+    keys = heads.select("order_key", "doc_id", "page_ord", "record_key", "raw_month", "raw_year", "payroll_type")
+    # joined first: the shuffle then carries a few numbers per item instead of printed text
+    return line.join(keys, line.l_orderkey == keys.order_key).select(
+        *keys.columns,
         order.alias("item_ord"),
         code.alias("code"),
         label.alias("label"),
@@ -133,7 +135,3 @@ def raw_items(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None)
         ((F.col("l_quantity") % 5) / 5).alias("confidence"),
         F.when(F.col("l_linenumber") % 3 == 0, "text").alias("evidence_type"),
     )
-    keys = heads.select(
-        "order_key", "doc_id", "page_ord", "record_key", F.col("raw_month"), F.col("raw_year"), "payroll_type"
-    )
-    return items.join(keys, "order_key")
