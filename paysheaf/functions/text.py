@@ -5,6 +5,7 @@ All functions take and return ``Column`` and stay inside the JVM.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -41,6 +42,13 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+def constant_label_key(label: str) -> str:
+    """``label_key`` of a fixed value, for tables that become constants of a plan."""
+    base = label.translate(str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])).lower()
+    key = re.sub("[^a-z0-9]+", " ", base).strip()
+    return vocab.LABEL_ALIASES.get(key, key)
+
+
 def text(c: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -38,12 +38,11 @@ def missing_summaries(expected: DataFrame, have: DataFrame, keys: list[str]) ->
     """
     wanted = expected.withColumn("want", label_key(F.col("label")))
     open_labels = wanted.join(have.withColumnRenamed("have", "want"), [*keys, "want"], "left_anti")
-    on = [open_labels[k] == have[k] for k in keys]
-    near = F.contains(have["have"], open_labels["want"]) | F.contains(open_labels["want"], have["have"])
-    condition = near
-    for c in on:
-        condition = c & condition
-    return open_labels.join(have, condition, "left_anti").drop("want")
+    right = have.select(*[F.col(k).alias(f"_{k}") for k in keys], "have")
+    condition = F.contains("have", "want") | F.contains("want", "have")
+    for k in keys:
+        condition = (F.col(k) == F.col(f"_{k}")) & condition
+    return open_labels.join(right, condition, "left_anti").drop("want")
 
 
 def coverage(

@@ -135,3 +135,43 @@ def raw_items(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None)
         ((F.col("l_quantity") % 5) / 5).alias("confidence"),
         F.when(F.col("l_linenumber") % 3 == 0, "text").alias("evidence_type"),
     )
+
+
+def amount_cents(c: Column) -> Column:
+    """Cents of a printed amount of these views, 0 when blank."""
+    digits = F.regexp_replace(c, "[.,]", "")
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(digits.cast("long"))
+
+
+def page_texts(items: DataFrame) -> DataFrame:
+    """Printed text of every payslip page: two items per line, then the totals.
+
+    A page's text is one cell, so the items of one page are put together here.
+    """
+    chunk = F.concat_ws(
+        "  |  ",
+        F.trim(F.concat_ws(" ", "code", "label")),
+        F.when(F.col("reference") != "", F.col("reference")),
+        F.when(F.col("value") != "", F.col("value")),
+    )
+    cents = amount_cents(F.col("value"))
+    pages = items.groupBy("doc_id", "page_ord", "order_key", "raw_month", "raw_year").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("item_ord", chunk.alias("chunk")))), lambda e: e["chunk"]).alias("chunks"),
+        F.sum(F.when(F.col("type") == "desconto", F.lit(0)).otherwise(cents)).alias("plus"),
+        F.sum(F.when(F.col("type") == "desconto", cents).otherwise(F.lit(0))).alias("minus"),
+    )
+    lines = F.transform(
+        F.sequence(F.lit(1), F.size("chunks"), F.lit(2)), lambda i: F.array_join(F.slice("chunks", i, 2), "  |  ")
+    )
+    foot = F.array(
+        F.concat(F.lit("TOTAL PROVENTOS "), money.format_cents(F.col("plus"))),
+        F.concat(F.lit("TOTAL DESCONTOS "), money.format_cents(F.col("minus"))),
+        F.concat(F.lit("VALOR LÍQUIDO "), money.format_cents(F.col("plus") - F.col("minus"))),
+        F.concat(F.lit("BASE DE CÁLCULO DO INSS "), money.format_cents(F.col("plus"))),
+        F.concat(F.lit("FGTS EMPRESA "), money.format_cents(F.col("minus"))),
+        F.concat(F.lit("Outros valores "), money.format_cents(F.col("minus"))),
+    )
+    head = F.array(F.concat(F.lit("Competência: "), F.col("raw_month"), F.lit("/"), F.col("raw_year")))
+    return pages.select(
+        "doc_id", F.col("page_ord").alias("page"), "order_key", F.array_join(F.concat(head, lines, foot), "\n").alias("text")
+    )
