@@ -158,7 +158,7 @@ def first_rule(key: Column, rules: list[tuple[str, str]]) -> Column:
 
 def any_of(patterns: list[str]) -> str:
     """One case-insensitive alternation; letters fold with their accents."""
-    return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
+    return "(?iu)" + "|".join(f"(?:{p})" for p in patterns).replace(r"\s", WS)
 
 
 def payroll_type_label(payroll_type: Column) -> Column:

@@ -1,6 +1,6 @@
 """All named queries; importing this module fills the registry."""
 
-from . import queries_items, queries_report, queries_text  # noqa: F401
+from . import queries_items, queries_layout, queries_report, queries_text  # noqa: F401
 from .catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

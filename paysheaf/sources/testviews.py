@@ -175,3 +175,72 @@ def page_texts(items: DataFrame) -> DataFrame:
     return pages.select(
         "doc_id", F.col("page_ord").alias("page"), "order_key", F.array_join(F.concat(head, lines, foot), "\n").alias("text")
     )
+
+
+BLOCKS_PER_PAGE = 6
+
+
+def page_tokens(items: DataFrame, heads: DataFrame) -> DataFrame:
+    """Positioned tokens: six payslips stacked on a sheet, two items per line, totals below.
+
+    On every seventh sheet the last payslip runs over to the top of the next one.
+    """
+    names = list("jan fev mar abr mai jun jul ago set out nov dez".split())
+    sheet = F.floor((F.col("page_ord") - 1) / BLOCKS_PER_PAGE).cast("int") + 1
+    block = ((F.col("page_ord") - 1) % BLOCKS_PER_PAGE).cast("int")
+    cents = amount_cents(F.col("value"))
+    cells = F.struct("item_ord", F.trim(F.concat_ws(" ", "code", "label")).alias("name"), "reference", "value")
+    lists = items.groupBy("doc_id", "page_ord").agg(
+        F.array_sort(F.collect_list(cells)).alias("cells"), F.sum(F.when(F.col("type") == "desconto", F.lit(0)).otherwise(cents)).alias("plus"),
+        F.sum(F.when(F.col("type") == "desconto", cents).otherwise(F.lit(0))).alias("minus"),
+    )
+    base = heads.select("doc_id", "page_ord", "order_date").join(lists, ["doc_id", "page_ord"], "left").withColumns(
+        {"page": sheet, "block": block, "n": F.when(F.col("cells").isNull(), 0).otherwise(F.size("cells"))}
+    )
+
+    def tok(s, x, line, k):
+        return F.struct(s.alias("str"), F.lit(float(x)).alias("x"), line.cast("int").alias("line"), k.cast("int").alias("k"))
+
+    period = F.concat(F.lit("Mês: "), _pick(names, F.month("order_date") - 1), F.lit("-"), F.date_format("order_date", "yy"))
+    end = F.floor((F.col("n") + 1) / 2) + 1
+    amount = [money.format_cents(F.coalesce(c, F.lit(0).cast("long"))) for c in (F.col("plus"), F.col("minus"), F.col("plus") - F.col("minus"))]
+    frame = F.array(
+        tok(F.lit("Folha Normal"), 10, F.lit(-1), F.lit(0)), tok(period, 10, F.lit(0), F.lit(1)),
+        tok(F.lit("TOT.RENDIMENTOS"), 10, end, F.lit(900000)), tok(amount[0], 150, end, F.lit(900001)),
+        tok(F.lit("TOTALDESCONTOS"), 310, end, F.lit(900002)), tok(amount[1], 460, end, F.lit(900003)),
+        tok(F.lit("BASEDECALCULODOINSS"), 600, end, F.lit(900004)), tok(amount[0], 760, end, F.lit(900005)),
+        tok(F.lit("SALARIOLIQUIDONOMES"), 600, end + 1, F.lit(900006)), tok(amount[2], 760, end + 1, F.lit(900007)),
+    )
+
+    def printed(c, i):
+        line, shift = F.floor(i / 2) + 1, (i % 2) * 300
+        return F.array(
+            *[
+                F.struct(
+                    c[name].alias("str"), (F.lit(float(x)) + shift).alias("x"), line.cast("int").alias("line"), (i * 10 + 10 + at).cast("int").alias("k")
+                )
+                for at, (name, x) in enumerate([("name", 10), ("reference", 150), ("value", 210)])
+            ]
+        )
+
+    body = F.flatten(F.transform(F.coalesce("cells", F.expr("cast(array() as array<struct<item_ord:bigint,name:string,reference:string,value:string>>)")), printed))
+    flat = base.select("doc_id", "page", "block", F.explode(F.concat(frame, body)).alias("t")).select("doc_id", "page", "block", "t.*").where(F.col("str") != "")
+    over = (F.col("page") % 7 == 0) & (F.col("block") == BLOCKS_PER_PAGE - 1) & (F.col("line") >= 3)
+    line_y = F.when(over, 12 * (F.col("line") - 2)).otherwise(200 + 1000 * F.col("block") + 12 * F.col("line"))
+    return flat.select(
+        "doc_id",
+        F.when(over, F.col("page") + 1).otherwise(F.col("page")).alias("page"),
+        (F.when(over, F.lit(-1)).otherwise(F.col("block")).cast("long") * 1000000 + F.col("k")).alias("item_ord"),
+        "str", "x", (line_y + (F.col("k") % 3) * 0.5).cast("double").alias("y"), (F.length("str") * 6.0).cast("double").alias("width"),
+    )
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every prose document as tokens: one line of text per line, x by character offset."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text")
+    lines = docs.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    words = lines.select("doc_id", "page", "ln", F.posexplode(F.split("line", " ")).alias("w", "str"))
+    return words.where(F.col("str") != "").select(
+        "doc_id", "page", (F.col("ln").cast("long") * 1000000 + F.col("w")).alias("item_ord"), "str",
+        (F.col("w") * 40.0).alias("x"), (F.col("ln") * 12.0).alias("y"), (F.length("str") * 6.0).alias("width"),
+    )
