@@ -305,6 +305,10 @@ _kept("v_fmarks", "(?i)TOTALDESCONTOS|SALARIOLIQUIDONOMES|Líquido", 30)
                    (SELECT min(line_y) FROM v_fmarks f WHERE f.doc_id = h.doc_id AND f.page = h.page AND f.line_y > h.line_y AND (h.nxt IS NULL OR f.line_y < h.nxt)) AS foot
                  FROM (SELECT *, row_number() OVER w AS i, lead(line_y) OVER w AS nxt, count(*) OVER (PARTITION BY doc_id, page) AS n FROM v_hmarks WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_y)) h WHERE n >= 2)
            UNION ALL
+           SELECT doc_id, CAST(page AS INTEGER), CAST(i - 1 AS INTEGER), coalesce(before + 20, 0.0), line_y + 20, NULL, CAST(0.85 AS DOUBLE), FALSE
+           FROM (SELECT *, row_number() OVER w AS i, lag(line_y) OVER w AS before, count(*) OVER (PARTITION BY doc_id, page) AS n FROM v_fmarks WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_y)) f
+           WHERE n >= 2 AND (SELECT count(*) FROM v_hmarks h WHERE h.doc_id = f.doc_id AND h.page = f.page) < 2
+           UNION ALL
            SELECT s.doc_id, CAST(s.page AS INTEGER), 0, 0.0, 6500.0, NULL, CAST(1.0 AS DOUBLE), TRUE FROM v_sheets s
            WHERE (SELECT count(*) FROM v_hmarks h WHERE h.doc_id = s.doc_id AND h.page = s.page) < 2 AND (SELECT count(*) FROM v_fmarks f WHERE f.doc_id = s.doc_id AND f.page = s.page) < 2""",
     ),
