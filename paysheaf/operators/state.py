@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import first_filled, text
+from ..plans import segmented
 
 UNIT = ["job_id", "result_key"]
 
@@ -80,15 +81,15 @@ def job_status(events: DataFrame) -> DataFrame:
     A retry while the job runs changes nothing, so only a retry right after a finished or
     failed state counts.
     """
-    w = Window.partitionBy("job_id").orderBy("seq")
     state = F.when(F.col("event") == "complete", "concluido").when(F.col("event") == "fail", "erro").otherwise("processando")
     marked = events.where(F.col("event").isin("retry", "complete", "fail")).withColumn("state", state)
-    marked = marked.withColumn("before", F.coalesce(F.lag("state").over(w), F.lit("processando")))
+    marked = segmented.last_before(marked, ["job_id"], ["seq"], F.floor(F.col("seq") / 65536), F.col("state"), "before")
+    marked = marked.withColumn("before", F.coalesce("before", F.lit("processando")))
     counted = (F.col("event") == "retry") & (F.col("before") != "processando")
     failure = F.when(F.col("event") == "fail", first_filled(F.col("error"), F.lit("Erro interno no processamento do documento")))
     return marked.groupBy("job_id").agg(
         F.max_by("state", "seq").alias("status"), F.count_if(counted).alias("retry_count"),
-        F.max_by(failure, F.when(F.col("event").isin("fail", "retry") , F.col("seq"))).alias("last_error"),
+        F.max_by(failure, F.when(F.col("event").isin("fail", "retry"), F.col("seq"))).alias("last_error"),
         F.max("seq").alias("last_seq"),
     )
 

@@ -271,6 +271,18 @@ def provenance(records: DataFrame) -> DataFrame:
     return known.select(*COMPETENCY, "page_ord", "record_key")
 
 
+def number_items(items: DataFrame, keys: list[str], segment: Column) -> DataFrame:
+    """Items of single records: repeats of key, reference and value dropped, the rest numbered."""
+    keyed = items.withColumn("group_key", canonical.group_key(F.col("kind"), F.col("canonical_key"), F.col("label")))
+    group = [*keys, "kind", "group_key"]
+    rest = ["item_ord", "canonical_key", "code", "label", "original_label", "type", "conflict", "review_required"]
+    first = keyed.groupBy(*group, text(F.col("reference")).alias("reference"), text(F.col("value")).alias("value")).agg(
+        F.min_by(F.struct(*rest), "item_ord").alias("r")
+    )
+    flat = first.select(*group, "reference", "value", "r.*")
+    return segmented.numbered(flat, group, ["item_ord"], segment, out="occurrence")
+
+
 def unknown_first(records: DataFrame, unified: DataFrame) -> DataFrame:
     """Unified records after the records without a competency, in document order.
 
