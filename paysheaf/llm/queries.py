@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,71 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(document_text(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+runs AS (SELECT doc_id, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM runs) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, source, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(l, '')), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 100 * n_symbols > 10 * word_chars AS f3, 100 * n_dup_lines > 30 * n_lines AS f4 FROM m),
+h AS (SELECT source, count(*) AS n, unnest([1, 2, 3, 4]) AS r, unnest([count(*) FILTER (f1), count(*) FILTER (f2), count(*) FILTER (f3), count(*) FILTER (f4)]) AS f
+  FROM f WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT r, sum(n) AS n, sum(n) / count(*) AS per, (sum(f) + 0.5) / (sum(n) + 1) AS mean,
+    greatest(0.0, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2)) AS spread FROM h GROUP BY r),
+b AS (SELECT *, greatest(spread - mean * (1 - mean) / per, 0.0) AS between_var FROM s),
+p AS (SELECT r, mean, CASE WHEN between_var > 0 THEN least(per, greatest(1.0, mean * (1 - mean) / between_var - 1)) ELSE per END AS strength FROM b),
+bad AS (SELECT DISTINCT source FROM h JOIN p USING (r) WHERE (f + mean * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND bad.source IS NULL AS kept
+FROM f LEFT JOIN bad ON f.source = bad.source
+"""
+
+
+@query("op3_quality", _OP3_SQL)
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(document_text(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _spans_sql(kind: str, pattern: str, group: int, least: int, order: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS k,
+  CAST(coalesce(list_sum(list_transform(between_[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(all_[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+  length(all_[i]) AS chars, length(part_[i]) AS part_chars, {least} AS least_chars
+  FROM (SELECT doc_id, between_, all_, part_, unnest(range(1, len(all_) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS between_,
+    regexp_extract_all(t, '{pattern}') AS all_, regexp_extract_all(t, '{pattern}', {group}) AS part_ FROM d))"""
+
+
+_OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(_spans_sql(r.kind, r.pattern, r.group, r.min_chars, i) for i, r in enumerate(secrets.RULES))}),
+spans AS (SELECT doc_id, kind, k, s, kind || ':' || s || ':' || (s + chars) AS p FROM raw WHERE part_chars >= least_chars),
+agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(p, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(p, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (doc_id)
+"""
+
+
+@query("op4_secrets", _OP4_SQL)
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = document_text(spark, sf_dir).select("doc_id", F.lit(1).alias("attempts"), "text")
+    found = secrets.secrets(versions)
+    base = secrets.of_kind(F.col("spans"), *secrets.BASE_KINDS)
+    counts = [F.size(secrets.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.printed(base), 256).alias("base_sha256"), secrets.printed(F.col("spans")).alias("spans"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(document_text(spark, sf_dir))
+    return mixed.select(
+        "doc_id", "size", F.col("company_size").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "rate"
+    )
