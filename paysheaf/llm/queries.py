@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, simhash
+from . import bpe, licenses, mixing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(document_text(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _license_sql() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS i, '{label}' AS label FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d) WHERE "
+        + " AND ".join(f"l[i + {j}] = '{w}'" for j, w in enumerate(phrase.split()))
+        for phrase, label in licenses.PHRASES.items()
+    )
+    templates = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in licenses.TEMPLATES)
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS l FROM documents),
+places AS ({places}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
+t(label, words) AS (VALUES {templates}),
+blocks AS (SELECT doc_id, list_distinct(l[b + 1:b + {licenses.BLOCK_WORDS}]) AS w FROM (SELECT doc_id, l, unnest(range(0, len(l), {licenses.BLOCK_STEP})) AS b FROM d)),
+pairs AS (SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS c FROM blocks, t),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM pairs WHERE c >= {licenses.CONTAINMENT} - 1e-9 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op2_licenses", _license_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(document_text(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
