@@ -161,3 +161,10 @@ def mixture(document_text: DataFrame, weights: DataFrame | None = None, max_copi
     hist = stored(histogram(sized), "histogram")
     goal = targets(hist, cyclic_weights(hist) if weights is None else weights, max_copies)
     return copies(sized, hist, tilts(hist, goal, max_copies), max_copies)
+
+
+def repeated(document_text: DataFrame, weights: DataFrame | None = None, max_copies: int = MAX_COPIES) -> DataFrame:
+    """The mixture itself: every row of ``document_text`` as often as ``mixture`` takes its document, with all its columns."""
+    taken = mixture(document_text, weights, max_copies).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    joined = document_text.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(document_text.columns)

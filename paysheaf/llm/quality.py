@@ -86,15 +86,22 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytetext.chunks(batch):
             counts = measure(bytetext.parse(part.column("text"), lower=False))
-            columns = [part.column("doc_id"), part.column("company"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "company", *COUNTS])
+            carried = [c for c in part.schema.names if c != "text" or "row" in part.schema.names]
+            columns = [*(part.column(c) for c in carried), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)]
+            yield pa.RecordBatch.from_arrays(columns, [*carried, *COUNTS])
 
 
-def measures(document_text: DataFrame) -> DataFrame:
-    """``doc_id, company``, the ``COUNTS`` and one boolean ``fails_<rule>`` for each of ``RULES``."""
-    docs = document_text.select("doc_id", "text", F.col("company").cast("string").alias("company"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, company string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+def measures(document_text: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id, company``, the ``COUNTS`` and one boolean ``fails_<rule>`` for each of ``RULES``.
+
+    With ``carry`` also ``text`` and, as the struct ``row``, all other columns.
+    """
+    docs = document_text.select("doc_id", F.col("company").cast("string").alias("company"), "text")
+    if carry:
+        rest = [c for c in document_text.columns if c not in ("doc_id", "company", "text")]
+        docs = document_text.select("doc_id", F.col("company").cast("string").alias("company"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+    kept = docs.drop("text") if not carry else docs
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(f"{c} bigint" for c in COUNTS)
     return docs.mapInArrow(_measures, schema).withColumns({f"fails_{r}": F.expr(rule) for r, rule in RULES.items()})
 
 
@@ -137,17 +144,29 @@ def company_verdicts(failures: DataFrame, prior: dict[str, Prior], max_rate: flo
     return out.select("company", *rates, (F.greatest(*rates) <= max_rate).alias("company_kept"))
 
 
-def judged(document_text: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
+#: Rejected companies up to this number are sent to every task; more are joined by shuffling.
+SENT_COMPANIES = 50_000
+
+
+def rejected_companies(document_text: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
+    """``company, rejected`` (true): the companies whose shrunk rate of some rule is above ``max_rate``."""
+    failures = stored(company_failures(measures(document_text)), "failures")
+    verdicts = company_verdicts(failures, priors(failures), max_rate)
+    rejected = stored(verdicts.where("not company_kept").select("company", F.lit(True).alias("rejected")), "rejected")
+    return F.broadcast(rejected) if rejected.count() <= SENT_COMPANIES else rejected
+
+
+def judged(document_text: DataFrame, max_rate: float = MAX_FAILURE_RATE, carry: bool = False) -> DataFrame:
     """Each document's counts with its own and its company's verdict.
 
     Takes ``doc_id, text, company``; gives ``doc_id, company``, ``COUNTS``, ``base_failed`` (a document rule fails),
-    ``company_kept``, ``kept`` (neither rejects it). Null texts count as empty. Documents without a company are
-    judged by their own rules only. Repeated rows count and come back as often; an empty table gives no rows.
+    ``company_kept``, ``kept`` (neither rejects it); with ``carry`` also ``text`` and the other columns in the struct ``row``.
+    Null texts count as empty. Documents without a company are judged by their own rules only.
+    Repeated rows count and come back as often; an empty table gives no rows.
     """
-    measured = stored(measures(document_text), "measures")
-    failures = stored(company_failures(measured), "failures")
-    verdicts = company_verdicts(failures, priors(failures), max_rate)
-    rejected = verdicts.where("not company_kept").select("company", F.lit(True).alias("rejected"))
+    rejected = rejected_companies(document_text, max_rate)
+    measured = measures(document_text, carry)
     base_failed = F.expr(" or ".join(f"fails_{r}" for r in DOCUMENT_RULES))
     out = measured.join(rejected, "company", "left").withColumns({"base_failed": base_failed, "company_kept": F.col("rejected").isNull()})
-    return out.select("doc_id", "company", *COUNTS, "base_failed", "company_kept", (~F.col("base_failed") & F.col("company_kept")).alias("kept"))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("company_kept"))
+    return out.select("doc_id", "company", *(["text", "row"] if carry else []), *COUNTS, "base_failed", "company_kept", "kept")

@@ -148,3 +148,13 @@ def masked(text: Column, spans: Column, mark: str = "[removed]") -> Column:
         lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, start).otherwise(text)
+
+
+def cleaned(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with every secret in ``text`` replaced by a mark; all rows and columns stay."""
+    found = secrets(versions, ledger, rules).where(F.size("spans") > 0).distinct()
+    found = found.select(F.struct("doc_id", "attempts").alias("_path"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    same = F.struct("doc_id", "attempts").eqNullSafe(F.col("_path")) & (blob_of(F.col("text")) == F.col("_blob"))
+    joined = versions.join(found.hint("shuffle_hash"), same, "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))
+    return joined.withColumn("text", text).select(versions.columns)

@@ -112,3 +112,13 @@ def near_duplicates(document_text: DataFrame) -> DataFrame:
     first = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(first, "component").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def first_of_groups(document_text: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the document with the smallest ``doc_id``.
+
+    Of repeated rows of that document one stays. Documents without ``doc_id`` stay only where their group has no other.
+    """
+    first = near_duplicates(document_text).select(F.col("component_id").alias("_first")).distinct()
+    kept = document_text.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
