@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, simhash
+from . import bpe, imatch, licenses, mixing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,8 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.licenses(document_text(spark, sf_dir))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query("op6_imatch")
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(document_text(spark, sf_dir))
