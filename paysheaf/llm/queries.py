@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, licenses, mixing, quality, secrets, simhash
+from . import bpe, imatch, language_model, licenses, mixing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_imatch")
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compared(document_text(spark, sf_dir))
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(document_text(spark, sf_dir))
