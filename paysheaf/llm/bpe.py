@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 from ..session import scratch_dir
+from .shared import stored
 
 # fixed value: the split of byte-level BPE
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LN}]+|\s+(?!\S)|\s+"
@@ -343,14 +344,32 @@ def word_counts(document_text: DataFrame, vocabulary_path: str) -> DataFrame:
     return document_text.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(document_text: DataFrame, vocabulary_path: str, max_words: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent split words, ``max_words`` at most; words as rare as the first that no longer fits are left out.
+
+    A count that one word more would exceed is found from the numbers of words of each count, so only words of the lexicon reach the driver.
+    """
+    counted = word_counts(document_text, vocabulary_path).where((F.col("n") > 1) & (F.length("word") <= LONG_WORD))
+    counted = stored(counted, "words")
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
+    kept, least = 0, None
+    for row in sizes.toLocalIterator():
+        kept += row["words"]
+        if kept > max_words:
+            break
+        least = row["n"]
+    if least is None:
+        return []
+    return [r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator()]
+
+
 def ship_lexicon(document_text: DataFrame, vocabulary_path: str, max_words: int = LEXICON_WORDS) -> str:
     """Compile the ``max_words`` most frequent words and send the file to all executors; gives its name there.
 
     At most ``max_words`` rows reach the driver. Rarer words need no lexicon: they are merged exactly.
     """
     spark = document_text.sparkSession
-    frequent = word_counts(document_text, vocabulary_path).where(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(max_words)
-    words = [r["word"].encode() for r in frequent.select("word").collect()]
+    words = [w.encode() for w in frequent_words(document_text, vocabulary_path, max_words)]
     folder = scratch_dir(spark, "lexicon")
     # the driver's own copy; executors get theirs through Spark
     folder = folder.removeprefix("file://") if folder.startswith(("file:///", "/")) else tempfile.mkdtemp(prefix="lexicon-")

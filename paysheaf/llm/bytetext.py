@@ -18,6 +18,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: All ASCII characters but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 CHUNK_BYTES = 4 << 20
 _BASE = 0x9E6C63D0876A9A35 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,6 +86,15 @@ class Texts:
         shifted = (total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts]
         return mix(shifted + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def distinct(self, places: bool = False) -> tuple[np.ndarray, ...]:
+        """Hash and text (and, with ``places``, one place) of each distinct word of each text, by text, then hash."""
+        hashes, owner = self.hashes(), self.owner
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        return (hashes[new], owner[new], order[new]) if places else (hashes[new], owner[new])
+
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``width`` words and whether the run lies inside one text."""
         n = len(hashes) - width + 1
@@ -95,8 +107,8 @@ class Texts:
         return mix(out), owner[:n] == owner[width - 1 :]
 
 
-def parse(column: pa.Array, lower: bool = True) -> Texts:
-    """Texts of an Arrow string column; nulls count as empty."""
+def parse(column: pa.Array, lower: bool = True, between: np.ndarray = SPACE) -> Texts:
+    """Texts of an Arrow string column; nulls count as empty. ``between`` marks the bytes that part words."""
     column = pc.fill_null(column, "") if column.null_count else column
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, where, raw = column.buffers()
@@ -105,7 +117,7 @@ def parse(column: pa.Array, lower: bool = True) -> Texts:
     offsets = offsets - offsets[0]
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty(len(data), bool)

@@ -24,20 +24,10 @@ LEXICONS = 24
 EMPTY = "-"
 
 
-def _distinct_terms(texts: bytetext.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each distinct term of each text, in the order of text, then hash."""
-    hashes, owner = texts.hashes(), texts.owner
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], owner[new]
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytetext.chunks(batch):
-            terms, n = np.unique(_distinct_terms(bytetext.parse(part.column("text")))[0], return_counts=True)
+            terms, n = np.unique(bytetext.parse(part.column("text")).distinct()[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
 
@@ -68,7 +58,7 @@ def fingerprint_texts(texts: bytetext.Texts, terms: np.ndarray) -> np.ndarray:
 
     Texts without a term of the band use all of theirs; a text without words has the hash of nothing everywhere.
     """
-    hashes, owner = _distinct_terms(texts)
+    hashes, owner = texts.distinct()
     n_texts = len(texts.bounds) - 1
     at = np.searchsorted(terms, hashes)
     at[at == len(terms)] = 0

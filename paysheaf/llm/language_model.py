@@ -19,7 +19,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bits and probes for each entry of the filter: about one in forty absent entries seems present.
 BITS_PER_ENTRY, PROBES = 8, 4
 #: Weight of the unigram model, in tokens.
-PRIOR_TOKENS = 100.0
+PRIOR_TOKENS = 200.0
 SEGMENTS = 4096
 #: Up to these sizes counts are sent to the workers; beyond, the same sums come from joins.
 MAX_FILTER_BYTES = 256 << 20

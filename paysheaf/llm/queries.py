@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, language_model, licenses, mixing, quality, secrets, simhash
+from . import bpe, imatch, language_model, licenses, mixing, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +82,7 @@ def _spans_sql(kind: str, pattern: str, group: int, least: int, order: int) -> s
 
 _OP4_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-raw AS ({" UNION ALL ".join(_spans_sql(r.kind, r.pattern, r.group, r.min_chars, i) for i, r in enumerate(secrets.RULES))}),
+raw AS ({" UNION ALL ".join(_spans_sql(r.kind, r.pattern, r.group, r.min_chars, i) for i, r in enumerate(secret_scan.RULES))}),
 spans AS (SELECT doc_id, kind, k, s, kind || ':' || s || ':' || (s + chars) AS p FROM raw WHERE part_chars >= least_chars),
 agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(p, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(p, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
@@ -94,10 +94,10 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 @query("op4_secrets", _OP4_SQL)
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = document_text(spark, sf_dir).select("doc_id", F.lit(1).alias("attempts"), "text")
-    found = secrets.secrets(versions)
-    base = secrets.of_kind(F.col("spans"), *secrets.BASE_KINDS)
-    counts = [F.size(secrets.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(secrets.printed(base), 256).alias("base_sha256"), secrets.printed(F.col("spans")).alias("spans"))
+    found = secret_scan.secrets(versions)
+    base = secret_scan.of_kind(F.col("spans"), *secret_scan.BASE_KINDS)
+    counts = [F.size(secret_scan.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.printed(base), 256).alias("base_sha256"), secret_scan.printed(F.col("spans")).alias("spans"))
 
 
 @query("op5_mixing")
@@ -151,3 +151,8 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_model")
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(document_text(spark, sf_dir))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(document_text(spark, sf_dir), table(spark, sf_dir, "labels"))
