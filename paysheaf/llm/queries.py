@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, language_model, licenses, mixing, quality, secret_scan, simhash, toxicity
+from . import bpe, imatch, language_model, licenses, mixing, passages, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,3 +156,8 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(document_text(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op1_passages")
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(document_text(spark, sf_dir))
