@@ -72,11 +72,11 @@ def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> Dat
     histogram per round. Full companies need no tilt (null), nor do companies without words.
     """
     scale = hist.groupBy("key").agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"),
+        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"),
         F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"),
     )
     state = goal.join(scale, "key").withColumn("solvable", (F.col("target") > 0) & (F.col("target") < max_copies * F.col("company_size") * (1 - 1e-12)))
-    least, log_ratio = F.col("least") / F.col("scale"), F.log(F.col("target") / F.col("company_size"))
+    least, log_ratio = F.col("least") / F.col("scale"), F.log(F.try_divide("target", "company_size"))
     log_cap = F.log(F.lit(float(max_copies)))
     state = state.select(
         "key", "company_size", "target", "scale", "solvable",
@@ -91,7 +91,7 @@ def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> Dat
         sums = hist.join(state.where("solvable").select("key", "tilt", "scale"), "key").groupBy("key").agg(
             F.sum(mass).alias("taken"), F.sum(F.when(F.col("tilt") * x < log_cap, mass * x).otherwise(0.0)).alias("slope")
         )
-        step = state.join(sums, "key", "left").withColumn("gap", F.log(F.col("taken") / F.col("target")))
+        step = state.join(sums, "key", "left").withColumn("gap", F.log(F.try_divide("taken", "target")))
         step = step.withColumns({"low": F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))})
         newton = F.col("tilt") - F.col("gap") * F.col("taken") / F.when(F.col("slope") > 0, F.col("slope"))
         inside = newton.isNotNull() & newton.between(F.col("low"), F.col("high"))

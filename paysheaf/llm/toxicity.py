@@ -122,7 +122,7 @@ def _features(categories: tuple[str, ...]):
 
 
 def _sparse(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    sizes = rows["words"].map(len).to_numpy()
+    sizes = np.fromiter(map(len, rows["words"]), np.int64, len(rows))
     column = np.concatenate(rows["words"].to_list()) if sizes.sum() else np.zeros(0)
     return np.repeat(np.arange(len(rows)), sizes), column.astype(np.int64)
 
