@@ -201,23 +201,41 @@ def complexity(tokens: DataFrame, keys: list[str], columns: int = 6, per_line: i
 
 
 def vertical_cut(tokens: DataFrame, extents: DataFrame, keys: list[str]) -> DataFrame:
-    """x where a page is best cut in two: fewest boxes cut, then nearest the middle, then leftmost."""
-    boxes = tokens.groupBy(*keys).agg(
-        F.collect_list(
-            F.struct(F.coalesce("x", F.lit(0.0)).alias("a"), (F.coalesce("x", F.lit(0.0)) + F.when(F.col("width") > 0, F.col("width")).otherwise(20.0)).alias("b"))
-        ).alias("boxes")
-    )
-    df = extents.select(*keys, "x_min", "x_max").join(boxes, keys)
-    span = F.col("x_max") - F.col("x_min")
-    df = df.withColumns({"mid": F.col("x_min") + span / 2, "radius": span * 0.25})
-
-    def scored(k: Column) -> Column:
-        x = F.col("mid") - F.col("radius") + k * 2
-        cuts = F.size(F.filter("boxes", lambda b: (x > b["a"] + 1) & (x < b["b"] - 1)))
-        return F.struct((cuts * 1000 + F.abs(x - F.col("mid"))).alias("score"), k.alias("k"), x.alias("x"))
+    """x where a page is best cut in two: fewest boxes cut, then nearest the middle, then leftmost.
 
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.floor(F.col("radius")).cast("int")), scored))
-    return df.select(*keys, "x_min", "x_max", (F.floor(best["x"] * 100 + 0.5) / 100).alias("x_cut"))
+    Candidates stand two points apart around the middle. A box cuts a run of them, so it is one event where the run
+    begins and one behind its end; between two events all candidates cut equally many boxes and the one
+    nearest the middle is best. Work grows with the boxes, not with boxes times candidates.
+    """
+    pages = extents.select(*keys, "x_min", "x_max")
+    span = F.col("x_max") - F.col("x_min")
+    pages = pages.withColumns({"mid": F.col("x_min") + span / 2, "radius": span * 0.25}).withColumn("last", F.floor("radius"))
+
+    def at(k: Column) -> Column:
+        return F.col("mid") - F.col("radius") + k * 2
+
+    left = F.coalesce("x", F.lit(0.0))
+    width = F.when(F.col("width") > 0, F.col("width")).otherwise(20.0)
+    boxes = tokens.select(*keys, (left + 1).alias("a"), (left + width - 1).alias("b")).join(pages, keys)
+    first, behind = F.floor((F.col("a") - at(F.lit(0))) / 2), F.ceil((F.col("b") - at(F.lit(0))) / 2)
+    # the guesses are put right by the comparison itself
+    first = F.when(at(first) > F.col("a"), first).when(at(first + 1) > F.col("a"), first + 1).otherwise(first + 2)
+    behind = F.when(at(behind - 1) >= F.col("b"), behind - 1).when(at(behind) >= F.col("b"), behind).otherwise(behind + 1)
+    first, behind = F.greatest(first, F.lit(0)), F.least(behind, F.col("last") + 1)
+    events = boxes.select(*keys, first.alias("first"), behind.alias("behind")).where("first < behind")
+    events = events.select(*keys, F.inline(F.array(F.struct(F.col("first").alias("k"), F.lit(1).alias("d")), F.struct(F.col("behind").alias("k"), F.lit(-1).alias("d")))))
+    events = events.union(pages.select(*keys, F.lit(0).cast("bigint"), F.lit(0))).groupBy(*keys, "k").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy(*keys).orderBy("k")
+    runs = events.withColumns({"cuts": F.sum("d").over(along), "next": F.lead("k").over(along)}).join(pages, keys)
+    end = F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last"))
+    runs = runs.withColumn("end", end).where("k <= end")
+    middle = F.floor(F.col("radius") / 2)
+    ks = F.array(*[F.greatest("k", F.least("end", middle + i)) for i in (0, 1)])
+    scored = runs.select(*keys, "x_min", "x_max", "mid", "radius", "cuts", F.explode(ks).alias("c"))
+    x = at(F.col("c"))
+    score = F.struct((F.col("cuts") * 1000 + F.abs(x - F.col("mid"))).alias("score"), F.col("c").alias("k"), x.alias("x"))
+    best = scored.groupBy(*keys, "x_min", "x_max").agg(F.min(score).alias("best"))
+    return best.select(*keys, "x_min", "x_max", (F.floor(F.col("best.x") * 100 + 0.5) / 100).alias("x_cut"))
 
 
 def split_halves(tokens: DataFrame, cuts: DataFrame, keys: list[str], overlap: float = 20.0) -> DataFrame:
