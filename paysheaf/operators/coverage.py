@@ -9,6 +9,9 @@ from ..functions import vocab
 from ..functions.text import label_key, lines_of, text, trim_ws
 
 
+TOTALS = ("total_additions", "total_deductions", "net_value")
+
+
 def missing_codes(expected: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:
     """Expected k-th occurrence of a code where fewer than k were extracted.
 
@@ -25,7 +28,7 @@ def extracted_label_keys(extracted: DataFrame, totals: DataFrame | None, keys: l
     """Distinct label keys of a record; present totals count under their label."""
     found = extracted.select(*keys, label_key(F.col("label")).alias("have"))
     if totals is not None:
-        names = zip(vocab.TOTAL_LABELS, ["total_additions", "total_deductions", "net_value"], strict=True)
+        names = zip(vocab.TOTAL_LABELS, TOTALS, strict=True)
         present = F.array(*[F.when(trim_ws(F.col(n)) != "", label_key(F.lit(label))) for label, n in names])
         found = found.unionByName(totals.select(*keys, F.explode(present).alias("have")).where(F.col("have").isNotNull()))
     return found.where(F.col("have") != "").distinct()
@@ -47,9 +50,9 @@ def missing_summaries(expected: DataFrame, have: DataFrame, keys: list[str]) ->
 
 def coverage(
     expected_codes: DataFrame, expected_summaries: DataFrame, lost_codes: DataFrame, lost_summaries: DataFrame,
-    extracted: DataFrame, records: DataFrame, keys: list[str],
+    extracted: DataFrame, records: DataFrame, keys: list[str], totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Visible, missing and covered share per record (``records`` carries text_length)."""
+    """Visible, missing and covered share per record (``records`` carries text_length); a record with only totals has something."""
     def n(df: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
         return df.groupBy(*keys).agg((F.count("*") if condition is None else F.count_if(condition)).alias(name))
 
@@ -57,12 +60,17 @@ def coverage(
         n(expected_codes, "codes"), n(expected_summaries, "summaries"), n(lost_codes, "lost_codes"), n(lost_summaries, "lost_summaries"),
         extracted.groupBy(*keys).agg(F.count_if(F.col("kind") == "field").alias("fields"), F.count_if(F.col("kind") == "base").alias("bases")),
     ]
+    if totals is not None:
+        filled = [trim_ws(F.col(n)) != "" for n in TOTALS]
+        parts.append(totals.groupBy(*keys).agg(F.count_if(F.coalesce(filled[0], F.lit(False)) | F.coalesce(filled[1], F.lit(False)) | F.coalesce(filled[2], F.lit(False))).alias("totals")))
+    else:
+        records = records.withColumn("totals", F.lit(0).cast("long"))
     df = records
     for part in parts:
         df = df.join(part, keys, "left")
-    df = df.na.fill(0, ["codes", "summaries", "lost_codes", "lost_summaries", "fields", "bases"])
+    df = df.na.fill(0, ["codes", "summaries", "lost_codes", "lost_summaries", "fields", "bases", "totals"])
     visible, missing = F.col("codes") + F.col("summaries"), F.col("lost_codes") + F.col("lost_summaries")
-    some = (F.col("fields") > 0) | (F.col("bases") > 0)
+    some = (F.col("fields") > 0) | (F.col("bases") > 0) | (F.col("totals") > 0)
     share = F.when(visible > 0, F.greatest(F.lit(0.0), (visible - missing) / visible)).otherwise(F.when(some, 1.0).otherwise(0.0))
     return df.select(
         *keys, visible.alias("expected_count"), F.greatest(F.lit(0).cast("long"), visible - missing).alias("extracted_count"),

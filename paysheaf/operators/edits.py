@@ -12,13 +12,14 @@ from ..functions.text import text
 def apply_cell_edits(items: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     """Set the value of an exported cell; a cell without an item becomes a new item.
 
-    ``edits``: keys, kind, canonical_key, occurrence, header, code, new_value (one per cell).
+    ``edits``: keys, kind, canonical_key, occurrence, header, code, new_value (one per cell). All other columns of the items stay.
     """
     on = [*keys, "kind", "canonical_key", "occurrence"]
     joined = items.join(edits.select(*on, "header", F.col("code").alias("edit_code"), "new_value"), on, "full")
     label = F.regexp_replace("header", " [0-9]+$", "")
+    rest = [c for c in items.columns if c not in (*on, "label", "code", "value", "reference")]
     return joined.select(
-        *on,
+        *on, *rest,
         F.coalesce("label", label).alias("label"),
         F.when(F.col("label").isNull(), text(F.col("edit_code"))).otherwise(F.col("code")).alias("code"),
         F.coalesce("new_value", "value").alias("value"),

@@ -219,7 +219,9 @@ def apply_cell_edits(spark, sf):
         *PAGE, F.lit("field").alias("kind"), F.lit("field:code:99").alias("canonical_key"), F.lit(1).cast("long").alias("occurrence"),
         F.lit("Novo item 2").alias("header"), F.lit("99").alias("code"), F.lit("5,00").alias("new_value"),
     )
-    return edits.apply_cell_edits(now, old.unionByName(new), PAGE).drop("reference")
+    return edits.apply_cell_edits(now, old.unionByName(new), PAGE).select(
+        *PAGE, "kind", "canonical_key", "occurrence", "label", "code", "value", "is_new", "edited"
+    )
 
 
 @query(

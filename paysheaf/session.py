@@ -34,8 +34,12 @@ def build(master: str | None = None, app_name: str = "paysheaf", **extra: str) -
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is absent, which is the
-    case in single-process tests.
+    Without that setting a machine-local folder serves single-process sessions; other
+    machines would not see it, so on a cluster the setting is required.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paysheaf-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="paysheaf-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 FORMATS = ("csv", "json", "parquet")
 
 
@@ -36,6 +39,28 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> N
 
 
 def write_results(results: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace the partitions of the written kinds and job buckets, and only those."""
+    """Replace the stored results of the given jobs and kinds; all other jobs keep theirs.
+
+    Results lie in folders per kind and job bucket. A folder that holds a replaced job is rewritten as a whole: what its other
+    jobs have is read back and written with the new rows. A job that is stored already stays in its folder,
+    so ``buckets`` may differ from call to call.
+    """
+    spark, unit = results.sparkSession, ["job_id", "result_kind"]
     placed = results.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("result_kind", "job_bucket").parquet(path)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = None
+    if stored is not None:
+        folder, jobs = ["result_kind", "job_bucket"], placed.select(*unit).distinct()
+        known = stored.join(jobs, unit, "left_semi").select(*unit, F.col("job_bucket").alias("_bucket")).distinct()
+        placed = placed.join(known, unit, "left").withColumn("job_bucket", F.coalesce("_bucket", "job_bucket")).drop("_bucket")
+        kept = stored.join(placed.select(*folder).distinct(), folder, "left_semi").join(jobs, unit, "left_anti")
+        placed = placed.unionByName(kept, allowMissingColumns=True)
+    # read back before the folders that it comes from are replaced
+    whole = scratch_dir(spark, "results")
+    placed.repartition("result_kind", "job_bucket").write.parquet(whole)
+    ready = spark.read.schema(placed.schema).parquet(whole)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("result_kind", "job_bucket").parquet(path)
