@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, vocab
 from ..functions.text import first_filled, text
 from ..plans import segmented
 
@@ -26,9 +26,16 @@ def verified(results: DataFrame) -> DataFrame:
     return results.where(F.coalesce(F.col("executed"), F.lit(0)) > 0)
 
 
+def execution_gate(results: DataFrame) -> DataFrame:
+    """Units and units without a confirmed execution per job; an unknown execution is not confirmed."""
+    return results.groupBy("job_id").agg(
+        F.count("*").alias("units"), F.count_if(F.coalesce(F.col("executed"), F.lit(0)) <= 0).alias("unconfirmed")
+    )
+
+
 def assert_verified(results: DataFrame) -> DataFrame:
     """Fail when a unit has no confirmed execution; the input is returned unchanged."""
-    unconfirmed = results.where(F.coalesce(F.col("executed"), F.lit(0)) <= 0).count()
+    unconfirmed = execution_gate(results).agg(F.sum("unconfirmed")).first()[0]
     if unconfirmed:
         raise ValueError(f"REQUIRED_EXECUTION_MISSING: {unconfirmed} unit(s) without a confirmed execution")
     return results
@@ -94,7 +101,7 @@ def job_status(events: DataFrame) -> DataFrame:
     )
 
 
-def job_progress(events: DataFrame, logs: int = 100) -> DataFrame:
+def job_progress(events: DataFrame, logs: int = vocab.LOG_LINES) -> DataFrame:
     """Latest known current, total, percentage and message of a job, and its last log lines."""
     def latest(name: str, known: Column) -> Column:
         return F.max_by(name, F.when(known, F.col("seq"))).alias(name)
@@ -106,7 +113,7 @@ def job_progress(events: DataFrame, logs: int = 100) -> DataFrame:
     return heads.join(last_logs(events, logs), "job_id", "left").na.fill(0, ["log_lines"])
 
 
-def last_logs(events: DataFrame, limit: int = 100) -> DataFrame:
+def last_logs(events: DataFrame, limit: int = vocab.LOG_LINES) -> DataFrame:
     """The last ``limit`` log lines of every job in order.
 
     The rank filter drops older lines in every task before the shuffle.
@@ -159,7 +166,7 @@ def search(jobs: DataFrame, words: str = "", status: str = "todos") -> DataFrame
     return jobs.where(named if status == "todos" else named & (F.col("status") == status))
 
 
-def page_of(jobs: DataFrame, page: int, size: int = 10) -> DataFrame:
+def page_of(jobs: DataFrame, page: int, size: int = vocab.JOBS_PER_PAGE) -> DataFrame:
     """One page of the list; a page past the end shows the last one."""
     total = jobs.count()
     last = max(1, -(-total // size))

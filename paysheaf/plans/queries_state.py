@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import state
 from ..sources import testviews
 from ..streaming import unit_results
@@ -13,13 +14,15 @@ from .duck import view, with_views
 NOW = "2024-01-20 00:00:00"
 
 
+def event_table(spark, sf, stream: bool = False):
+    if not stream:
+        return testviews.table(spark, sf, "events")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
 def results(spark, sf, stream: bool = False):
-    path = f"{sf}/events.parquet"
-    if stream:
-        schema = spark.read.parquet(path).schema
-        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    else:
-        events = testviews.table(spark, sf, "events")
+    events = event_table(spark, sf, stream)
     k = F.get_json_object("props", "$.k").cast("int")
     return events.select(
         F.col("user_id").cast("string").alias("job_id"),
@@ -49,6 +52,13 @@ def _printed(df):
     return df.withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def _streamed(spark, rows, fold, keys):
+    """The table that a stream over everything available leaves, in a fresh folder of the session."""
+    root = session.scratch_dir(spark, "stream")
+    unit_results.run_to_table(rows, f"{root}/table", f"{root}/checkpoint", fold, keys)
+    return unit_results.read_table(spark, f"{root}/table")
+
+
 @query("checkpoint_latest", with_views(["v_latest"], LATEST))
 def checkpoint_latest(spark, sf):
     return _printed(state.latest_results(results(spark, sf)))
@@ -56,8 +66,8 @@ def checkpoint_latest(spark, sf):
 
 @query("checkpoint_stream", with_views(["v_latest"], LATEST))
 def checkpoint_stream(spark, sf):
-    table = unit_results.run_to_table(spark, unit_results.upsert(results(spark, sf, stream=True)), "unit-results", "update")
-    return _printed(unit_results.newest_batch(table, state.UNIT))
+    rows = unit_results.unit_rows(results(spark, sf, stream=True))
+    return _printed(_streamed(spark, rows, unit_results.fold_units, state.UNIT).drop("seq"))
 
 
 @query("verified_results", with_views(["v_latest"], "SELECT job_id, result_key, page_number, executed FROM v_latest WHERE executed > 0"))
@@ -68,7 +78,7 @@ def verified_results(spark, sf):
 @query("execution_gate", with_views(["v_latest"], "SELECT job_id, count(*) AS units, count(*) FILTER (executed <= 0) AS unconfirmed FROM v_latest GROUP BY 1"))
 def execution_gate(spark, sf):
     latest = state.latest_results(results(spark, sf))
-    return latest.groupBy("job_id").agg(F.count("*").alias("units"), F.count_if(F.col("executed") <= 0).alias("unconfirmed"))
+    return state.execution_gate(latest)
 
 
 PENDING = """SELECT DISTINCT u.job_id, u.result_key, u.page_number FROM v_res u
@@ -89,7 +99,7 @@ def pending_units(spark, sf):
 def pending_stream(spark, sf):
     done = state.verified(state.latest_results(results(spark, sf)))
     live = unit_results.pending(_units(results(spark, sf, stream=True)), done)
-    return unit_results.run_to_table(spark, live, "pending", "append").drop("batch_id").distinct()
+    return _streamed(spark, live, lambda rows: rows.distinct(), ["job_id", "result_key"])
 
 
 @query("completed_pages", with_views(["v_latest"], "SELECT job_id, CAST(substr(result_key, 6) AS INTEGER) AS page_number FROM v_latest WHERE result_kind = 'checkpoint' AND regexp_full_match(result_key, 'page:[0-9]+')"))
@@ -97,8 +107,8 @@ def completed_pages(spark, sf):
     return state.page_numbers(state.latest_results(results(spark, sf)))
 
 
-def job_events(spark, sf):
-    e = testviews.table(spark, sf, "events")
+def job_events(spark, sf, stream: bool = False):
+    e = event_table(spark, sf, stream)
     kind = F.when(F.col("event_type") == "click", "retry").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("progress")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
@@ -131,19 +141,23 @@ def job_status(spark, sf):
     return state.job_status(job_events(spark, sf)).drop("last_error")
 
 
-@query(
-    "job_progress",
-    with_views(
-        ["v_jev"],
-        """SELECT job_id, arg_max(current, seq) FILTER (current IS NOT NULL) AS current, arg_max(total, seq) FILTER (total IS NOT NULL) AS total,
+PROGRESS = """SELECT job_id, arg_max(current, seq) FILTER (current IS NOT NULL) AS current, arg_max(total, seq) FILTER (total IS NOT NULL) AS total,
              arg_max(percentage, seq) FILTER (percentage IS NOT NULL) AS percentage, arg_max(message, seq) FILTER (message IS NOT NULL) AS message, least(count(*), 100) AS log_lines,
-             list_aggregate(list(log ORDER BY seq)[-100:], 'string_agg', '|') AS logs FROM v_jev GROUP BY 1""",
-    ),
-)
+             list_aggregate(list(log ORDER BY seq)[-100:], 'string_agg', '|') AS logs FROM v_jev GROUP BY 1"""
+
+
+@query("job_progress", with_views(["v_jev"], PROGRESS))
 def job_progress(spark, sf):
     return state.job_progress(job_events(spark, sf)).withColumn("logs", F.array_join("logs", "|"))
 
 
+@query("progress_stream", with_views(["v_jev"], PROGRESS))
+def progress_stream(spark, sf):
+    rows = unit_results.progress_rows(job_events(spark, sf, stream=True))
+    folded = _streamed(spark, rows, unit_results.fold_progress, ["job_id"])
+    return unit_results.progress_table(folded).withColumn("logs", F.array_join("logs", "|"))
+
+
 @query("unit_progress", with_views(["v_latest"], "SELECT job_id, c AS current, t AS total, CAST(least(95, floor(10 + c / t * 85 + 0.5)) AS INTEGER) AS percentage FROM (SELECT job_id, count(*) FILTER (executed > 0) AS c, count(*) AS t FROM v_latest GROUP BY 1)"))
 def unit_progress(spark, sf):
     return state.unit_progress(state.latest_results(results(spark, sf)).withColumn("done", F.col("executed") > 0))

@@ -1,70 +1,122 @@
-"""Unit results as a stream: keyed upsert, pending units, progress.
+"""Unit results and job progress as streams into stored tables, and pending units.
 
-The stream forms use the same aggregates as the batch forms, so both give the same
-tables.  A watermark on ``completed_at`` bounds the state of long-running streams.
+A stream keeps no keyed state: each micro-batch is folded into the table that it feeds, bucket by
+bucket, with the same fold as the batch operators. What grows is the table, not the stream's memory, and a
+stream that is started again on its checkpoint goes on with the files that it has not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from .. import session
+from ..functions import vocab
+from ..functions.text import text
 from ..operators.state import UNIT
 
+Fold = Callable[[DataFrame], DataFrame]
+JOB = ["job_id"]
+_PLACE = ["version", "bucket"]
+
+
+def unit_rows(stream: DataFrame) -> DataFrame:
+    """Result rows as the fold takes them: each is one attempt."""
+    return stream.select(*UNIT, "page_number", "result_kind", "value", "executed", "completed_at", "seq", F.lit(1).cast("bigint").alias("attempts"))
 
-def upsert(stream: DataFrame, ttl: str | None = None) -> DataFrame:
-    """Newest value and number of attempts per unit (update or complete mode)."""
-    live = stream if ttl is None else stream.withWatermark("completed_at", ttl)
+
+def fold_units(rows: DataFrame) -> DataFrame:
+    """Newest value and number of attempts per unit."""
     at = F.struct("completed_at", "seq")
-    return live.groupBy(*UNIT).agg(
-        F.max_by(F.struct("page_number", "result_kind", "value", "executed"), at).alias("r"),
-        F.max("completed_at").alias("completed_at"), F.count("*").alias("attempts"),
-    ).select(*UNIT, "r.*", "completed_at", "attempts")
+    rest = F.struct("page_number", "result_kind", "value", "executed", "completed_at", "seq")
+    return rows.groupBy(*UNIT).agg(F.max_by(rest, at).alias("r"), F.sum("attempts").alias("attempts")).select(*UNIT, "r.*", "attempts")
 
 
-def progress(stream: DataFrame) -> DataFrame:
-    """Latest known values per job; a missing part keeps the older one."""
-    def latest(name: str, known):
-        return F.max_by(name, F.when(known, F.col("seq"))).alias(name)
+def progress_rows(events: DataFrame) -> DataFrame:
+    """Progress events as the fold takes them: each part with the place it was last known at, and the log line."""
+    parts = {"current": F.col("current").isNotNull(), "total": F.col("total").isNotNull(), "percentage": F.col("percentage").isNotNull(), "message": text(F.col("message")) != ""}
+    known = [F.when(k, F.struct(F.col("seq"), F.col(c).alias("is"))).alias(c) for c, k in parts.items()]
+    line = F.when(text(F.col("log")) != "", F.array(F.struct("seq", "log")))
+    return events.select("job_id", *known, F.coalesce(line, F.array().cast("array<struct<seq:bigint,log:string>>")).alias("logs"))
 
-    return stream.groupBy("job_id").agg(
-        latest("current", F.col("current").isNotNull()), latest("total", F.col("total").isNotNull()),
-        latest("percentage", F.col("percentage").isNotNull()), latest("message", F.col("message").isNotNull()),
-    )
 
+def fold_progress(rows: DataFrame, limit: int = vocab.LOG_LINES) -> DataFrame:
+    """Latest known parts per job and its last ``limit`` log lines."""
+    latest = [F.max_by(c, F.col(f"{c}.seq")).alias(c) for c in ("current", "total", "percentage", "message")]
+    heads = rows.groupBy("job_id").agg(*latest)
+    lines = rows.select("job_id", F.explode("logs").alias("l")).select("job_id", "l.*")
+    return heads.join(last_lines(lines, limit), "job_id", "left").withColumn("logs", F.coalesce("logs", F.array().cast("array<struct<seq:bigint,log:string>>")))
 
-def pending(units: DataFrame, done: DataFrame) -> DataFrame:
-    """Streamed units that have no result in the static table ``done``."""
-    keys = done.select(*UNIT).distinct()
-    own = units.join(keys, UNIT, "left_anti")
-    whole = keys.where(F.col("result_key").rlike("^page:[0-9]+$")).select(
-        F.col("job_id").alias("_job"), F.expr("substring(result_key, 6)").try_cast("long").alias("_page")
-    )
-    return own.join(whole, (F.col("job_id") == F.col("_job")) & (F.col("page_number") == F.col("_page")), "left_anti")
 
+def last_lines(lines: DataFrame, limit: int) -> DataFrame:
+    ranked = lines.withColumn("_r", F.expr("row_number() over (partition by job_id order by seq desc)")).where(F.col("_r") <= limit)
+    return ranked.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "log"))).alias("logs"))
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over everything available and read back the table it wrote.
 
-    In update mode each batch appends its changed rows with the batch number; a reader
-    takes the rows of the highest batch per key.
-    """
-    root = session.scratch_dir(spark, name)
+def progress_table(folded: DataFrame) -> DataFrame:
+    """The folded table with the columns of ``state.job_progress``."""
+    parts = [F.col(f"{c}.is").alias(c) for c in ("current", "total", "percentage", "message")]
+    logs = F.transform("logs", lambda r: r["log"])
+    return folded.select("job_id", *parts, logs.alias("logs"), F.size("logs").cast("bigint").alias("log_lines"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again overwrites its own folder
-        batch.write.mode("overwrite").parquet(f"{root}/table/batch_id={batch_id}")
 
-    query: StreamingQuery = (
-        df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
-    )
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _current(stored: DataFrame, before: int | None = None) -> DataFrame:
+    """Rows of the newest version of each bucket."""
+    rows = stored if before is None else stored.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(newest, _PLACE, "left_semi")
+
+
+def run_to_table(stream: DataFrame, table: str, checkpoint: str, fold: Fold, keys: list[str], buckets: int = 16) -> None:
+    """Fold everything available of ``stream`` into ``table`` and stop; both paths lie in a folder that all machines share.
+
+    A micro-batch rewrites the buckets that it touches as a new version beside the old one. A batch that is run
+    again after a failure folds the versions before its own and overwrites its own, so every row counts once.
+    """
+    spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        fresh = fold(batch).withColumn("bucket", bucket)
+        stored = _stored(spark, table)
+        if stored is not None:
+            touched = fresh.select("bucket").distinct()
+            kept = _current(stored, batch_id).join(touched, "bucket", "left_semi").select(*fresh.columns)
+            fresh = fold(kept.drop("bucket").unionByName(fresh.drop("bucket"))).withColumn("bucket", bucket)
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/table")
 
 
-def newest_batch(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Current row per key of an update-mode table."""
-    rest = [c for c in table.columns if c not in [*keys, "batch_id"]]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """Current row of each key."""
+    return _current(spark.read.parquet(table)).drop(*_PLACE)
+
+
+def compact(spark: SparkSession, table: str, new_table: str) -> None:
+    """Write the newest version of every bucket to a new table that the same stream can go on with."""
+    newest = _current(spark.read.parquet(table))
+    version = newest.agg(F.max("version")).first()[0]
+    newest.drop("version").repartition("bucket").write.partitionBy("bucket").parquet(f"{new_table}/version={version}")
+
+
+def pending(units: DataFrame, done: DataFrame) -> DataFrame:
+    """Streamed units that have no result in the static table ``done``."""
+    keys = done.select(*UNIT).distinct()
+    own = units.join(keys, UNIT, "left_anti")
+    whole = keys.where(F.col("result_key").rlike("^page:[0-9]+$")).select(
+        F.col("job_id").alias("_job"), F.expr("substring(result_key, 6)").try_cast("long").alias("_page")
+    )
+    return own.join(whole, (F.col("job_id") == F.col("_job")) & (F.col("page_number") == F.col("_page")), "left_anti")

@@ -23,14 +23,52 @@ def test_upsert_and_gate(spark):
         state.assert_verified(state.latest_results(results(spark)))
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    df = results(spark)
-    for i in range(3):
-        df.where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = unit_results.newest_batch(unit_results.run_to_table(spark, unit_results.upsert(live), "t", "update"), state.UNIT)
+def test_stream_resumes_and_equals_batch(spark, tmp_path):
+    df, source, table, checkpoint = results(spark), str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
     cols = ["result_key", "value", "attempts"]
-    assert sorted(map(tuple, table.select(*cols).collect())) == sorted(map(tuple, state.latest_results(df).select(*cols).collect()))
+
+    def run(to=table):
+        live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        unit_results.run_to_table(unit_results.unit_rows(live), to, checkpoint, unit_results.fold_units, state.UNIT, buckets=3)
+        return sorted(map(tuple, unit_results.read_table(spark, to).select(*cols).collect()))
+
+    def batch(rows):
+        return sorted(map(tuple, state.latest_results(rows).select(*cols).collect()))
+
+    for i in range(2):
+        df.where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+    assert run() == batch(df.where(F.col("seq") % 3 < 2))
+    versions = {r["version"] for r in spark.read.parquet(table).select("version").distinct().collect()}
+    df.where(F.col("seq") % 3 == 2).coalesce(1).write.mode("append").parquet(source)
+    # the second run reads only the new file: one more version
+    assert run() == batch(df) and run() == batch(df)
+    assert {r["version"] for r in spark.read.parquet(table).select("version").distinct().collect()} <= versions | {2}
+    unit_results.compact(spark, table, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 6
+    assert run(str(tmp_path / "compact")) == batch(df)
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    df, source, table = results(spark), str(tmp_path / "in"), str(tmp_path / "table")
+    df.coalesce(1).write.parquet(source)
+    for checkpoint in ("a", "b"):  # a lost checkpoint runs batch 0 again
+        live = unit_results.unit_rows(spark.readStream.schema(df.schema).parquet(source))
+        unit_results.run_to_table(live, table, str(tmp_path / checkpoint), unit_results.fold_units, state.UNIT)
+    assert sorted(r["attempts"] for r in unit_results.read_table(spark, table).collect()) == [1, 1, 1, 1, 1, 2]
+
+
+def test_progress_stream_keeps_filled_messages(spark, tmp_path):
+    schema = "job_id string, seq bigint, current int, total int, percentage int, message string, log string"
+    rows = [("j", 1, 1, 9, None, "um", "a"), ("j", 2, None, None, 50, "", "b"), ("j", 3, 2, None, None, None, ""), ("k", 4, None, None, None, "x", None)]
+    df = spark.createDataFrame(rows, schema)
+    for i in range(4):
+        df.where(F.col("seq") == i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    unit_results.run_to_table(unit_results.progress_rows(live), str(tmp_path / "t"), str(tmp_path / "c"), unit_results.fold_progress, ["job_id"])
+    got = {r["job_id"]: tuple(r)[1:] for r in unit_results.progress_table(unit_results.read_table(spark, str(tmp_path / "t"))).collect()}
+    assert got == {"j": (2, 9, 50, "um", ["a", "b"], 2), "k": (None, None, None, "x", [], 0)}
+    want = {r["job_id"]: (r["current"], r["total"], r["percentage"], r["message"], r["log_lines"]) for r in state.job_progress(df).collect()}
+    assert want == {k: (*v[:4], v[5]) for k, v in got.items()}
 
 
 def test_pending_units(spark):
