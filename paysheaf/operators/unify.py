@@ -107,6 +107,11 @@ def _takes_in(value: Column, reference: Column) -> Column:
     return same | (fits_value & fits_ref)
 
 
+def _original(items: DataFrame) -> Column:
+    """The label as it was read, where the items carry it."""
+    return text(F.col("original_label") if "original_label" in items.columns else F.col("label"))
+
+
 def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
     """Fields of every (document, competency): merged, distinct and numbered.
 
@@ -123,7 +128,7 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
         .withColumns({c: text(F.col(c)) for c in ("code", "label", "reference", "value", "type")})
         .select(
             *GROUP, "page_ord", "item_ord", "late", "canonical_key", "code", "label", "reference", "value", "type",
-            "evidence_type", "confidence", "open",
+            "evidence_type", "confidence", "open", _original(items).alias("original_label"),
         )
     )
     rows = shared(rows)
@@ -141,7 +146,7 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
     # one row per (key, value, reference): the first of equals stays
     final_value = F.when(F.col("absorbed"), F.col("v2")).otherwise(F.col("value"))
     final_ref = F.when(F.col("absorbed"), F.col("r2")).otherwise(F.col("reference"))
-    own = F.struct(pos.alias("pos"), "absorbed", "code", "label", "type", "canonical_key", "evidence_type", "confidence", "open")
+    own = F.struct(pos.alias("pos"), "absorbed", "code", "label", "type", "canonical_key", "evidence_type", "confidence", "open", "original_label")
     order = F.struct("page_ord", "item_ord")
     kept = (
         marked.withColumns({"final_value": final_value, "final_ref": final_ref})
@@ -173,6 +178,7 @@ def unify_fields(items: DataFrame, records: DataFrame) -> DataFrame:
         F.col("own.evidence_type").alias("evidence_type"),
         F.col("own.confidence").alias("confidence"),
         F.col("own.open").alias("open"),
+        F.col("own.original_label").alias("original_label"),
     )
     return segmented.numbered(
         shared(flat), GROUP, ["page_ord", "item_ord"], segmented.page_segment(), out="occurrence"
@@ -187,6 +193,7 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
     rows = (
         items.withColumn("open", _open_flag(items)).drop("month", "year").join(pages, ["doc_id", "page_ord"])
         .withColumn("group_key", canonical.group_key(F.lit("base"), F.col("canonical_key"), F.col("label")))
+        .withColumn("original_label", _original(items))
         .withColumns({c: text(F.col(c)) for c in ("label", "reference", "value")})
     )
     # a keyless base repeats the first base of the same label key even if that one has a key
@@ -205,7 +212,7 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
     )
     fresh = named.join(leaders, [*COMPETENCY, "lk"], "left").where(~F.coalesce(repeat, F.lit(False)))
     first = fresh.groupBy(*GROUP, "value", "reference").agg(
-        F.min(F.struct(_position().alias("pos"), "label", "canonical_key", "evidence_type", "confidence", "open")).alias("own")
+        F.min(F.struct(_position().alias("pos"), "label", "canonical_key", "evidence_type", "confidence", "open", "original_label")).alias("own")
     )
     flat = first.select(
         *GROUP,
@@ -218,33 +225,48 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
         F.col("own.evidence_type").alias("evidence_type"),
         F.col("own.confidence").alias("confidence"),
         F.col("own.open").alias("open"),
+        F.col("own.original_label").alias("original_label"),
     )
     return segmented.numbered(
         flat, GROUP, ["page_ord", "item_ord"], segmented.page_segment(), out="occurrence"
     )
 
 
+#: Header values that come from one page together: the first page that has any of them.
+HEADER_GROUPS = (
+    ("company", "cnpj"),
+    ("employee", "cpf", "registration", "role", "department", "admission_date"),
+    ("bank", "agency", "account"),
+    ("payment_date",),
+)
+
+
 def unify_headers(records: DataFrame) -> DataFrame:
-    """One header per (document, competency); type ``unified``, first known header values."""
+    """One header per (document, competency); type ``unified``, and the header values that the records carry.
+
+    Company, employee and bank are taken whole from the first page that has one; block and warnings come from the first page.
+    """
     known, _ = split_unknown(records)
     at = F.col("page_ord")
-
-    def first_known(name: str) -> Column:
-        value = blank_to_null(text(F.col(name)))
-        return F.min_by(value, F.when(value.isNotNull(), at)).alias(name)
-
+    taken, names = [], []
+    for i, group in enumerate(HEADER_GROUPS):
+        present = [c for c in group if c in records.columns]
+        values = [blank_to_null(text(F.col(c))).alias(c) for c in present]
+        if present:
+            taken.append(F.min_by(F.struct(*values), F.when(F.coalesce(*values).isNotNull(), at)).alias(f"_{i}"))
+            names += [F.col(f"_{i}.{c}").alias(c) for c in present]
+    first = [c for c in ("block_index", "warnings") if c in records.columns]
     return (
         known.groupBy(*COMPETENCY)
         .agg(
             F.min("page_ord").alias("page_ord"),
             F.min_by("record_key", at).alias("record_key"),
-            first_known("company"),
-            first_known("employee"),
-            first_known("payment_date"),
+            *taken,
+            *[F.min_by(c, at).alias(c) for c in first],
             F.bool_or(canonical.flag(F.col("review_required"))).alias("review_required"),
             F.count("*").alias("pages"),
         )
-        .withColumn("payroll_type", F.lit("unified"))
+        .select(*COMPETENCY, "page_ord", "record_key", *names, *first, "review_required", "pages", F.lit("unified").alias("payroll_type"))
     )
 
 

@@ -10,6 +10,7 @@ from . import duck, segmented
 from .catalogue import query
 from .duck import view, with_views
 from .queries_items import items, pages, raw
+from .queries_pairs import PAGE, line_no
 from .reuse import shared
 
 KEYS = ["doc_id", "competency"]
@@ -19,12 +20,12 @@ view(
     ["v_unified", "v_ubase", "v_review"],
     """
   SELECT u.doc_id, u.competency, 'field' AS kind, u.canonical_key, u.page_ord, u.item_ord, u.code, u.label, u.reference, u.value,
-         u.occurrence, r.conflict OR r.review_required AS open
+         u.occurrence, r.conflict OR r.review_required AS open, r.original_label
   FROM v_unified u JOIN v_review r ON r.doc_id = u.doc_id AND r.page_ord = u.page_ord AND r.item_ord = u.item_ord
   WHERE u.competency IS NOT NULL
   UNION ALL
   SELECT u.doc_id, u.competency, 'base', u.canonical_key, u.page_ord, u.item_ord, '', u.label, u.reference, u.value, u.occurrence,
-         r.conflict OR r.review_required
+         r.conflict OR r.review_required, r.original_label
   FROM v_ubase u JOIN v_review r ON r.doc_id = u.doc_id AND r.page_ord = u.page_ord AND r.item_ord = u.item_ord""",
 )
 view(
@@ -43,7 +44,7 @@ view(
     "v_final",
     ["v_page"],
     """
-  SELECT doc_id, 0 AS part, page_ord, NULL AS competency, month, year, payroll_type, review_required, company, employee FROM v_page
+  SELECT doc_id, 0 AS part, page_ord, CAST(NULL AS VARCHAR) AS competency, month, year, payroll_type, review_required, company, employee FROM v_page
   WHERE competency IS NULL
   UNION ALL
   SELECT doc_id, 1, min(page_ord), competency, substr(competency, 1, 2), substr(competency, 4), 'unified', bool_or(review_required),
@@ -66,14 +67,14 @@ def unified(spark, sf):
     return unify.unified_items(items(spark, sf), pages(spark, sf))
 
 
-def final_records(spark, sf):
-    """Unknown records first, then one record per competency, with month and year."""
-    p = shared(unify.with_competency(pages(spark, sf)))
+def final_records(spark, sf, p=None, more=()):
+    """Unknown records first, then one record per competency, with month and year (and ``more`` header columns)."""
+    p = shared(unify.with_competency(pages(spark, sf))) if p is None else p
     head = unify.unify_headers(p).withColumns(
         {"month": F.substring("competency", 1, 2), "year": F.expr("substring(competency, 4)"), "part": F.lit(1)}
     )
     unknown = p.where(F.col("competency").isNull()).withColumn("part", F.lit(0))
-    cols = ["doc_id", "part", "page_ord", "competency", "record_key", "month", "year", "payroll_type", "review_required", "company", "employee", "payment_date"]
+    cols = ["doc_id", "part", "page_ord", "competency", "record_key", "month", "year", "payroll_type", "review_required", "company", "employee", "payment_date", *more]
     return unknown.select(*cols).unionByName(head.select(*cols))
 
 
@@ -114,6 +115,9 @@ def export_tall(spark, sf):
 WIDE = [f"field:code:{n}#1" for n in range(17)] + ["base:base_inss#1", "base:fgts_mes#1", "base:valor_liquido#1"]
 
 
+WIDE_CELLS = [(k, p) for k in WIDE for p in (("value", "reference") if k.startswith("field") else ("value",))]
+
+
 @query(
     "export_wide",
     with_views(
@@ -121,17 +125,15 @@ WIDE = [f"field:code:{n}#1" for n in range(17)] + ["base:base_inss#1", "base:fgt
         "SELECT doc_id, competency, "
         + ", ".join(
             f"coalesce(max({p}) FILTER (canonical_key || '#' || occurrence = '{k}'"
-            + (" AND kind = 'field'" if p == "reference" else "")
             + f"), '') AS \"{k}_{p}\""
-            for k in WIDE
-            for p in ("value", "reference")
+            for k, p in WIDE_CELLS
         )
-        + f""" FROM v_all WHERE canonical_key || '#' || occurrence IN ({', '.join(duck.q(k) for k in WIDE)})
-             AND (value <> '' OR (kind = 'field' AND reference <> '')) GROUP BY 1, 2""",
+        + """ FROM v_all GROUP BY 1, 2""",
     ),
 )
 def export_wide(spark, sf):
-    return export.wide(export.tall_cells(unified(spark, sf)), WIDE, KEYS)
+    merged = unified(spark, sf)
+    return export.wide(merged.select(*KEYS).distinct(), export.tall_cells(merged), [(k, p, "") for k, p in WIDE_CELLS], KEYS)
 
 
 @query(
@@ -186,36 +188,116 @@ _ROWS = f"""
          coalesce(s.observations, '') AS observations, coalesce(company, '') AS company, coalesce(employee, '') AS employee,
          coalesce(s.fields, 0) AS fields, coalesce(s.bases, 0) AS bases,
          CASE WHEN non_sequential THEN 'danger'
-              WHEN b.review_required OR coalesce(s.open, FALSE) OR contains(b.month, '?') OR contains(coalesce(s.observations, ''), '?')
+              WHEN b.review_required OR coalesce(s.open, FALSE) OR contains(b.month, '?') OR contains(coalesce(s.observations, ''), '?') OR contains(coalesce(company, ''), '?') OR contains(coalesce(employee, ''), '?') OR coalesce(s.unsure, FALSE)
                 OR (s.fields IS NULL AND b.month = '' AND b.year = '') THEN 'warning' ELSE '' END AS severity
   FROM v_breaks b LEFT JOIN (
-    SELECT doc_id, part, page_ord, bool_or(open) AS open, count(*) FILTER (kind = 'field') AS fields, count(*) FILTER (kind = 'base') AS bases,
-           coalesce(string_agg('Revisar: ' || label, ' | ' ORDER BY kind DESC, item_page, item_ord) FILTER (open), '') AS observations
-    FROM (SELECT doc_id, 1 AS part, r.page_ord, kind, label, open, a.page_ord AS item_page, item_ord
+    SELECT doc_id, part, page_ord, bool_or(open) AS open, bool_or(contains(value, '?') OR contains(reference, '?')) AS unsure, count(*) FILTER (kind = 'field') AS fields, count(*) FILTER (kind = 'base') AS bases,
+           coalesce(string_agg('Revisar: ' || coalesce(nullif(original_label, ''), nullif(label, ''), nullif(code, ''), 'item sem identificação'), ' | ' ORDER BY kind DESC, item_page, item_ord) FILTER (open), '') AS observations
+    FROM (SELECT doc_id, 1 AS part, r.page_ord, kind, original_label, label, code, value, reference, open, a.page_ord AS item_page, item_ord
           FROM v_all a JOIN (SELECT doc_id, competency, min(page_ord) AS page_ord FROM v_page WHERE competency IS NOT NULL GROUP BY 1, 2) r USING (doc_id, competency)
           UNION ALL
-          SELECT i.doc_id, 0, i.page_ord, kind, i.label, conflict OR i.review_required, i.page_ord, item_ord
-          FROM v_review i JOIN v_page p ON p.doc_id = i.doc_id AND p.page_ord = i.page_ord WHERE p.competency IS NULL)
+          SELECT i.doc_id, 0, i.page_ord, kind, i.original_label, i.label, i.code, i.value, i.reference, conflict OR i.review_required, i.page_ord, item_ord
+          FROM v_numbered i JOIN v_page p ON p.doc_id = i.doc_id AND p.page_ord = i.page_ord WHERE p.competency IS NULL)
     GROUP BY 1, 2, 3) s ON s.doc_id = b.doc_id AND s.part = b.part AND s.page_ord = b.page_ord"""
 
 
-@query("export_rows", with_views(["v_breaks", "v_all", "v_review", "v_page"], _ROWS))
-def export_rows(spark, sf):
+def sheet_parts(spark, sf, records):
+    """(rows of fixed cells, items of the rows): items of merged months and of single records, each under its row."""
     canonical_items = shared(items(spark, sf))
     p = pages(spark, sf)
-    records = final_records(spark, sf)
     merged = unify.unified_items(canonical_items, p)
     at = records.where(F.col("part") == 1).select("doc_id", "competency", F.col("page_ord").alias("row_page"))
     merged_rows = merged.join(at, KEYS).withColumn("part", F.lit(1))
     single = records.where(F.col("part") == 0).select("doc_id", "page_ord")
     open_flag = F.col("review_required") | F.coalesce("conflict", F.lit(False))
-    single_rows = canonical_items.join(single, ["doc_id", "page_ord"]).withColumns(
+    numbered = unify.number_items(canonical_items, PAGE, line_no())
+    single_rows = numbered.join(single, ["doc_id", "page_ord"]).withColumns(
         {"open": open_flag, "row_page": F.col("page_ord"), "part": F.lit(0)}
     )
-    cols = ["doc_id", "part", "row_page", "page_ord", "item_ord", "kind", "label", "reference", "value", "open"]
+    cols = ["doc_id", "part", "row_page", "page_ord", "item_ord", "kind", "canonical_key", "occurrence", "code", "label", "original_label", "reference", "value", "open"]
     both = merged_rows.select(*cols).unionByName(single_rows.select(*cols))
     signals = export.item_signals(both, ["doc_id", "part", "row_page"]).withColumnRenamed("row_page", "page_ord")
-    return export.export_rows(records, signals, ["doc_id", "part", "page_ord"])
+    return export.export_rows(records, signals, ROW), both
+
+
+ROW = ["doc_id", "part", "page_ord"]
+
+
+@query("export_rows", with_views(["v_breaks", "v_all", "v_numbered", "v_page"], _ROWS))
+def export_rows(spark, sf):
+    rows, _ = sheet_parts(spark, sf, final_records(spark, sf))
+    return rows.select(*ROW, "month", "year", "payroll_type", "review", "observations", "company", "employee", "fields", "bases", "severity")
+
+
+def sheet_pages(spark, sf):
+    """Pages with more header values, derived from the ones they have."""
+    tail = F.lit(":").cast("string")
+    return pages(spark, sf).withColumns({
+        "cnpj": F.concat(F.lit("J"), tail, "company"), "cpf": F.when(F.col("page_ord") % 4 != 0, F.concat(F.lit("F"), tail, "employee")),
+        "role": F.when(F.col("page_ord") % 6 == 1, F.concat(F.lit("R"), F.col("page_ord").cast("string"))),
+        "bank": F.when(F.col("page_ord") % 3 == 0, F.concat(F.lit("B"), F.col("page_ord").cast("string"))),
+        "agency": F.when(F.col("page_ord") % 5 == 0, F.concat(F.lit("A"), F.col("page_ord").cast("string"))),
+    })
+
+
+_EXTRA = {"cnpj": "'J:' || company", "cpf": "CASE WHEN page_ord % 4 <> 0 THEN 'F:' || employee END", "role": "CASE WHEN page_ord % 6 = 1 THEN 'R' || page_ord END",
+          "bank": "CASE WHEN page_ord % 3 = 0 THEN 'B' || page_ord END", "agency": "CASE WHEN page_ord % 5 = 0 THEN 'A' || page_ord END"}
+view("v_heads", ["v_page"], f"SELECT doc_id, page_ord, competency, company, employee, {', '.join(f'{e} AS {c}' for c, e in _EXTRA.items())} FROM v_page")
+
+
+def _first(group: list[str]) -> str:
+    """Values of the first page of a month that has any of them."""
+    some = " OR ".join(f"{c} IS NOT NULL" for c in group)
+    return f"LEFT JOIN (SELECT DISTINCT ON (doc_id, competency) doc_id, competency, {', '.join(group)} FROM v_heads WHERE competency IS NOT NULL AND ({some}) ORDER BY doc_id, competency, page_ord) USING (doc_id, competency)"
+
+
+view(
+    "v_sheet",
+    ["v_final", "v_heads"],
+    f"""SELECT doc_id, part, page_ord, company, cnpj, employee, cpf, role, bank, agency FROM (SELECT doc_id, competency, part, page_ord FROM v_final WHERE part = 1)
+          {_first(["company", "cnpj"])} {_first(["employee", "cpf", "role"])} {_first(["bank", "agency"])}
+        UNION ALL SELECT doc_id, 0, page_ord, company, cnpj, employee, cpf, role, bank, agency FROM v_heads WHERE competency IS NULL""",
+)
+
+
+view("v_rows", ["v_breaks", "v_all", "v_numbered", "v_page"], _ROWS)
+view(
+    "v_cells",
+    ["v_all", "v_numbered", "v_page"],
+    """SELECT doc_id, 1 AS part, r.page_ord, a.kind, canonical_key || '#' || occurrence AS k, arg_min(value, (a.page_ord, item_ord)) AS v, arg_min(reference, (a.page_ord, item_ord)) AS f
+       FROM v_all a JOIN (SELECT doc_id, competency, min(page_ord) AS page_ord FROM v_page WHERE competency IS NOT NULL GROUP BY 1, 2) r USING (doc_id, competency)
+       WHERE canonical_key IS NOT NULL GROUP BY 1, 2, 3, 4, 5
+       UNION ALL
+       SELECT i.doc_id, 0, i.page_ord, kind, canonical_key || '#' || occurrence, arg_min(value, item_ord), arg_min(reference, item_ord) FROM v_numbered i JOIN v_page p
+         ON p.doc_id = i.doc_id AND p.page_ord = i.page_ord WHERE p.competency IS NULL AND canonical_key IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
+)
+
+
+_FIXED = [("page", "page_ord", "v_rows"), *[(c, c, "v_rows") for c in ("month", "year", "payroll_type", "review", "observations")],
+          *[(c, c, "v_sheet") for c in ("company", "cnpj", "employee", "cpf", "role", "bank", "agency")]]
+
+
+@query(
+    "export_sheet",
+    with_views(
+        ["v_rows", "v_cells", "v_sheet"],
+        "SELECT doc_id, part, page_ord, c AS cell, v AS printed FROM ("
+        + " UNION ALL ".join(f"SELECT doc_id, part, page_ord, '{c}' AS c, CAST({e} AS VARCHAR) AS v FROM {t}" for c, e, t in _FIXED)
+        + """ UNION ALL SELECT doc_id, part, page_ord, k || '_value', v FROM v_cells
+              UNION ALL SELECT doc_id, part, page_ord, k || '_reference', f FROM v_cells WHERE kind = 'field') WHERE v <> ''""",
+    ),
+)
+def export_sheet(spark, sf):
+    """The whole sheet, one row per filled cell: all records, fixed cells and item columns."""
+    p = shared(unify.with_competency(sheet_pages(spark, sf)))
+    records = final_records(spark, sf, p, list(_EXTRA))
+    rows, row_items = sheet_parts(spark, sf, records)
+    merged = row_items.withColumnRenamed("page_ord", "item_page").withColumnRenamed("row_page", "page_ord")
+    columns = export.column_registry(row_items)
+    printed = export.sheet(rows.drop("fields", "bases", "severity"), merged.withColumn("item_ord", F.struct("item_page", "item_ord")), columns, ROW)
+    names = [c for c in printed.columns if c not in ROW]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"`{c}`").alias("printed")) for c in names]))
+    return printed.select(*ROW, cells.alias("c")).select(*ROW, "c.*").where("printed <> ''")
 
 
 @query(

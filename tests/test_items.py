@@ -185,8 +185,19 @@ def test_registry_headers_and_wide(spark):
     )
     cells = [r.cell for r in export.headers(export.column_registry(items)).orderBy(F.desc("kind"), "occurrence", F.desc("property")).collect()]
     assert cells == ["Salário", "Salário — Referência", "Salário 2", "Salário 2 — Referência", "Valor Líquido"]
-    row = export.wide(export.tall_cells(items), ["field:code:10#1", "field:code:10#2"], ["doc_id", "competency"]).first()
-    assert (row["field:code:10#1_value"], row["field:code:10#2_reference"]) == ("1.000,00", "10")
+    columns = export.cell_columns(export.column_registry(items))
+    assert [h for *_, h in columns] == cells
+    records = spark.createDataFrame([("d", "12/2024"), ("d", "01/2025")], "doc_id string, competency string")
+    rows = {r.competency: r for r in export.wide(records, export.tall_cells(items), columns, ["doc_id", "competency"]).collect()}
+    row = rows["12/2024"]
+    assert (row["field:code:10#1_value"], row["field:code:10#2_reference"], row["base:valor_liquido#1_value"]) == ("1.000,00", "10", "900,00")
+    assert set(tuple(rows["01/2025"])[2:]) == {""} and "base:valor_liquido#1_reference" not in row
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(ValueError, match="columns"):
+            export.cell_columns(export.column_registry(items))
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
 
 
 def test_sequence_breaks_skip_unreadable(spark):
