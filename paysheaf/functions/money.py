@@ -9,11 +9,6 @@ from . import vocab
 from .text import blank_to_null, text, trim_ws
 
 
-def format_text(c: Column) -> Column:
-    """Printed money is only trimmed."""
-    return trim_ws(c)
-
-
 def format_cents(cents: Column) -> Column:
     """Whole cents as ``1.234,56``."""
     units = ((F.abs(cents) - F.abs(cents) % 100) / 100).cast("long").cast("string")

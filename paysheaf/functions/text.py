@@ -134,11 +134,6 @@ def clean_label(c: Column) -> Column:
     return collapse_ws(edged)
 
 
-def longest_first(label: Column, *order: Column) -> Column:
-    """Sort key for ``max_by``: the longest label, the earliest among equals."""
-    return F.struct(F.length(label), *[-o for o in order])
-
-
 def lines_of(page_text: Column) -> Column:
     return F.split(text(page_text), "\n")
 

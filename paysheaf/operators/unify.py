@@ -290,7 +290,7 @@ def unified_items(items: DataFrame, records: DataFrame) -> DataFrame:
 def provenance(records: DataFrame) -> DataFrame:
     """Every source record of a unified competency with its position, one row each."""
     known, _ = split_unknown(records)
-    return known.select(*COMPETENCY, "page_ord", "record_key")
+    return known.select(*COMPETENCY, *[c for c in ("page_ord", "record_key", "page", "block_index") if c in known.columns])
 
 
 def number_items(items: DataFrame, keys: list[str], segment: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            reuse.release()  # frames kept for the query before this one
-            return fn(spark, sf_dir)
+            with reuse.scope() as kept:
+                df = fn(spark, sf_dir)
+            # frames of this query go with its result
+            weakref.finalize(df, kept.close).atexit = False
+            return df
 
         QUERIES[name] = run
         if sql is not None:

@@ -201,24 +201,36 @@ def stitched(spark, sf):
     return toks, marks, shared(blocks.stitched_tokens(toks, marks))
 
 
-@query(
-    "month_blocks",
-    with_views(
-        ["v_stitched", "v_marks"],
-        f"""SELECT m.doc_id, CAST(m.page AS INTEGER) AS page, CAST(block_index AS INTEGER) AS block_index, m.record_key, month, year, CAST(y_start AS DOUBLE) AS y_start,
+view(
+    "v_blocks",
+    ["v_stitched", "v_marks"],
+    f"""SELECT m.doc_id, CAST(m.page AS INTEGER) AS page, CAST(block_index AS INTEGER) AS block_index, m.record_key, month, year, CAST(y_start AS DOUBLE) AS y_start,
               coalesce(moved, CAST(coalesce(next_y - 1, y_start + 200) AS DOUBLE)) AS y_end, CAST(coalesce(np, m.page) AS INTEGER) AS last_page,
               a.text || CASE WHEN z.text IS NOT NULL THEN chr(10) || z.text ELSE '' END AS raw_text
             FROM (SELECT *, lpad(CAST(list_position(['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'], substr(text, 6, 3)) AS VARCHAR), 2, '0') AS month, '20' || substr(text, 10, 2) AS year FROM v_marks) m
             LEFT JOIN ({spatial_sql('(SELECT * FROM v_stitched WHERE part = 0)', 'doc_id, record_key')}) a ON a.doc_id = m.doc_id AND a.record_key = m.record_key
             LEFT JOIN ({spatial_sql('(SELECT * FROM v_stitched WHERE part = 1)', 'doc_id, record_key')}) z ON z.doc_id = m.doc_id AND z.record_key = m.record_key
             LEFT JOIN (SELECT doc_id, record_key, max(y) AS moved, max(page) AS np FROM v_stitched WHERE part = 1 GROUP BY 1, 2) e ON e.doc_id = m.doc_id AND e.record_key = m.record_key""",
-    ),
 )
+
+
+@query("month_blocks", with_views(["v_blocks"], "SELECT * FROM v_blocks"))
 def month_blocks(spark, sf):
     return blocks.blocks(*stitched(spark, sf)).drop("payroll_type")
 
 
-@query("month_block_types")
+@query(
+    "month_block_types",
+    with_views(
+        ["v_blocks"],
+        r"""SELECT doc_id, record_key, month, year, CASE
+              WHEN len(regexp_extract_all(t, '\b(?:371|374)\s+13')) >= 3 OR len(regexp_extract_all(t, 'salarioliquidonomes')) >= 3 THEN 'historico_13'
+              WHEN regexp_matches(t, 'remuneracaomes|dias/?horastrab') THEN 'normal'
+              WHEN regexp_matches(t, '\b311\s+part\s+lucr|\b313\s+irf\s+part\s+result') THEN 'plr'
+              WHEN regexp_matches(t, '\b13\b|13o\.\s*sal|13\s*sal') THEN 'decimo_terceiro' ELSE 'suplementar' END AS payroll_type
+            FROM (SELECT *, regexp_replace(strip_accents(lower(coalesce(raw_text, ''))), '[^a-z0-9\s.]', '', 'g') AS t FROM v_blocks)""",
+    ),
+)
 def month_block_types(spark, sf):
     return blocks.blocks(*stitched(spark, sf)).select("doc_id", "record_key", "month", "year", "payroll_type")
 

@@ -338,7 +338,7 @@ view(
 
 @query("coverage_codes", with_views(["v_lost_codes"], "SELECT doc_id, page, CAST(line AS INTEGER) AS line, code, CAST(occurrence AS INTEGER) AS occurrence FROM v_lost_codes"))
 def coverage_codes(spark, sf):
-    wanted = text_extract.inventory_codes(texts(spark, sf))
+    wanted = text_extract.numbered_codes(texts(spark, sf))
     return coverage.missing_codes(wanted, thinned(spark, sf), PAGE).select("doc_id", "page", "line", "code", "occurrence")
 
 
@@ -377,20 +377,23 @@ def coverage_report(spark, sf):
     with_views(
         ["v_text", "v_thin"],
         """SELECT doc_id, page, CASE WHEN len(w) > 0 THEN CAST(len(f) AS DOUBLE) / len(w) WHEN len(f) > 0 THEN 1.0 ELSE 0.0 END AS coverage,
-             coalesce(list_aggregate(list_sort(list_filter(w, lambda x: NOT list_contains(f, x))), 'string_agg', ','), '') AS missing_codes, has_base = FALSE AND regexp_matches(text, '(?i)BASE\\s*DE\\s*CALCULO|BASEDECALCULO|VALOR\\s*DO\\s*FGTS') AS missing_bases
-           FROM (SELECT t.doc_id, t.page, t.text, list_distinct(flatten(list_transform(string_split(text, chr(10)), lambda l: regexp_extract_all(l, '(?:^|\\|)\\s*([0-9]{1,4})\\s+[A-Za-zÀ-ÿ]', 1)))) AS w,
-                   coalesce(e.f, []) AS f, coalesce(e.b, FALSE) AS has_base
-                 FROM v_text t LEFT JOIN (SELECT doc_id, page, list_distinct(list(code) FILTER (code <> '')) AS f, bool_or(kind = 'base') AS b FROM v_thin GROUP BY 1, 2) e
-                   ON e.doc_id = t.doc_id AND e.page = t.page)""",
+             coalesce(list_aggregate(list_sort(list_filter(w, lambda x: NOT list_contains(f, x))), 'string_agg', ','), '') AS missing_codes,
+             NOT has_base AND wants_base AS missing_bases, NOT has_total AND wants_total AS missing_totals,
+             CASE WHEN len(w) > 0 THEN CAST(len(f) AS DOUBLE) / len(w) WHEN len(f) > 0 THEN 1.0 ELSE 0.0 END >= 0.8 AND (has_base OR NOT wants_base) AND (has_total OR NOT wants_total) AS valid
+           FROM (SELECT *, regexp_matches(text, '(?i)BASE\\s*DE\\s*CALCULO|BASEDECALCULO|VALOR\\s*DO\\s*FGTS') AS wants_base, regexp_matches(text, '(?i)TOT\\.?\\s*RENDIMENTOS|TOTAL\\s*DESCONTOS|SALARIO\\s*LIQUIDO') AS wants_total FROM (SELECT t.doc_id, t.page, t.text, list_distinct(flatten(list_transform(string_split(text, chr(10)), lambda l: regexp_extract_all(l, '(?:^|\\|)\\s*([0-9]{1,4})\\s+[A-Za-zÀ-ÿ]', 1)))) AS w,
+                   coalesce(e.f, []) AS f, coalesce(e.b, FALSE) AS has_base, coalesce(e.t, FALSE) AS has_total
+                 FROM v_text t LEFT JOIN (SELECT doc_id, page, list_distinct(list(code) FILTER (code <> '')) AS f, bool_or(kind = 'base') AS b, bool_or(canonical_key = 'base:valor_liquido') AS t FROM v_thin GROUP BY 1, 2) e
+                   ON e.doc_id = t.doc_id AND e.page = t.page))""",
     ),
 )
 def block_validation(spark, sf):
     found = thinned(spark, sf).groupBy(*PAGE).agg(
-        F.collect_set(F.when(F.col("code") != "", F.col("code"))).alias("found"), F.bool_or(F.col("kind") == "base").alias("has_base")
+        F.collect_set(F.when(F.col("code") != "", F.col("code"))).alias("found"), F.bool_or(F.col("kind") == "base").alias("has_base"),
+        F.bool_or(F.col("canonical_key") == "base:valor_liquido").alias("has_total"),
     )
     page = texts(spark, sf).join(found, PAGE, "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<string>)")))
-    checks = coverage.validate_block(F.col("text"), F.col("found"), F.lit(True), F.coalesce("has_base", F.lit(False)))
-    return page.withColumns({k: checks[k] for k in ("coverage", "missing_codes", "missing_bases")}).select(
-        "doc_id", "page", "coverage", F.array_join(F.array_sort("missing_codes"), ",").alias("missing_codes"), "missing_bases"
+    checks = coverage.validate_block(F.col("text"), F.col("found"), F.coalesce("has_total", F.lit(False)), F.coalesce("has_base", F.lit(False)))
+    return page.withColumns(checks).select(
+        "doc_id", "page", "coverage", F.array_join(F.array_sort("missing_codes"), ",").alias("missing_codes"), "missing_bases", "missing_totals", "valid"
     )
 

@@ -1,26 +1,57 @@
-"""Results that a plan reads more than once.
+"""Results that a plan reads more than once, owned by the caller.
 
 Spark prunes columns separately for every branch of a plan, so two branches of one
 expensive frame rarely share a shuffle and the frame would be computed per branch.
-``shared`` keeps such a frame in executor memory and on executor disks.  It stays
-lazy, and partitions that are lost with an executor are recomputed from lineage.
+Operators mark such frames with ``shared``. Inside a ``scope`` that the caller opens they are kept in
+executor memory and on executor disks until the caller closes it; outside of any scope nothing is kept and
+the plan is simply computed as it stands. Kept partitions that are lost with an executor are recomputed.
+
+    with reuse.scope() as kept:
+        rows = unify.unified_items(items, records)
+    rows.write.parquet(path)
+    kept.close()
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-_kept: list[DataFrame] = []
 
+class Scope:
+    """Frames kept for one caller."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.frames[-1]
+
+    def close(self) -> None:
+        """Drop what is kept; results that depend on it are recomputed when used again."""
+        while self.frames:
+            self.frames.pop().unpersist()
 
-def shared(df: DataFrame) -> DataFrame:
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _kept.append(kept)
-    return kept
 
+_active: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
-def release() -> None:
-    """Drop everything kept so far; results that depend on it are recomputed when used again."""
-    while _kept:
-        _kept.pop().unpersist()
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Plans built inside keep their shared frames; they stay after the block until ``close``."""
+    opened = Scope()
+    before = _active.set(opened)
+    try:
+        yield opened
+    finally:
+        _active.reset(before)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    active = _active.get()
+    return df if active is None else active.keep(df)

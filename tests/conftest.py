@@ -21,5 +21,6 @@ def spark():
 
 @pytest.fixture(autouse=True)
 def _release():
-    yield
-    reuse.release()
+    with reuse.scope() as kept:
+        yield
+    kept.close()
