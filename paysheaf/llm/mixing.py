@@ -13,8 +13,9 @@ MAX_COPIES = 3
 TOLERANCE = 1e-9
 ROUNDS = 60
 #: Documents of one company and size that one task puts in order.
-ROWS_PER_CELL = 4096
+ROWS_PER_CELL = 512
 CORRECTIONS = 2
+SALTS = 16
 
 
 def sizes(document_text: DataFrame) -> DataFrame:
@@ -63,6 +64,11 @@ def targets(hist: DataFrame, weights: DataFrame, max_copies: int = MAX_COPIES) -
     )
 
 
+def _exact_sum(values: Column) -> Column:
+    """A sum that does not depend on the order of the rows, so that reruns agree to the last bit."""
+    return F.sum(values.cast("decimal(30,8)")).cast("double")
+
+
 def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """``key, company_size, target, scale, tilt``: the dual solution, one number per company.
 
@@ -72,7 +78,7 @@ def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> Dat
     histogram per round. Full companies need no tilt (null), nor do companies without words.
     """
     scale = hist.groupBy("key").agg(
-        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"),
+        F.try_divide(_exact_sum(F.col("n") * F.col("size").cast("double") * F.col("size")), _exact_sum(F.col("n") * F.col("size"))).alias("scale"),
         F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"),
     )
     state = goal.join(scale, "key").withColumn("solvable", (F.col("target") > 0) & (F.col("target") < max_copies * F.col("company_size") * (1 - 1e-12)))
@@ -89,7 +95,7 @@ def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> Dat
     mass = F.col("n") * F.col("size") * rate
     for _ in range(ROUNDS):
         sums = hist.join(state.where("solvable").select("key", "tilt", "scale"), "key").groupBy("key").agg(
-            F.sum(mass).alias("taken"), F.sum(F.when(F.col("tilt") * x < log_cap, mass * x).otherwise(0.0)).alias("slope")
+            _exact_sum(mass).alias("taken"), _exact_sum(F.when(F.col("tilt") * x < log_cap, mass * x).otherwise(0.0)).alias("slope")
         )
         step = state.join(sums, "key", "left").withColumn("gap", F.log(F.try_divide("taken", "target")))
         step = step.withColumns({"low": F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))})
@@ -106,6 +112,11 @@ def tilts(hist: DataFrame, goal: DataFrame, max_copies: int = MAX_COPIES) -> Dat
     return state.select("key", "company_size", "target", "scale", "tilt")
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+
 def copies(sized: DataFrame, hist: DataFrame, solved: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """``doc_id, company, size, company_size, target, rate, copies``.
 
@@ -120,7 +131,9 @@ def copies(sized: DataFrame, hist: DataFrame, solved: DataFrame, max_copies: int
     rated = hist.join(solved, "key").withColumn("rate", rate)
     whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    docs = sized.withColumn("key", company_key(F.col("company"))).join(rated, ["key", "size"])
+    # documents of one company and size meet their rate in many tasks
+    docs = sized.withColumns({"key": company_key(F.col("company")), "salt": F.pmod(order, F.lit(SALTS))})
+    docs = docs.join(_salted(rated), ["key", "size", "salt"]).drop("salt")
     docs = docs.withColumn("cell", F.pmod(order, F.ceil(F.col("n") / ROWS_PER_CELL)))
     cells = docs.groupBy("key", "size", "cell", "rate").agg(F.count("*").alias("m"))
     running = F.expr("coalesce(sum(m * (rate - floor(rate))) over (partition by key order by size, cell rows between unbounded preceding and 1 preceding), 0.0)")
@@ -140,11 +153,14 @@ def copies(sized: DataFrame, hist: DataFrame, solved: DataFrame, max_copies: int
 
 def _corrected(taken: DataFrame) -> DataFrame:
     """Round one document per company the other way: the one whose size best makes up for what its company is over or short."""
-    gaps = taken.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    gaps = taken.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    # a company's documents meet its gap in many tasks
+    gaps = _salted(gaps)
+    salt = F.pmod(F.col("rank") + F.col("size"), F.lit(SALTS)).cast("bigint")
     open_up = (F.col("gap") > 0) & (F.col("copies") < F.ceil("rate"))
     open_down = (F.col("gap") < 0) & (F.col("copies") > F.floor("rate"))
     rest = F.abs(F.abs("gap") - F.col("size"))
-    choice = taken.join(gaps, "key").where((open_up | open_down) & (rest < F.abs("gap")))
+    choice = taken.withColumn("salt", salt).join(gaps, ["key", "salt"]).where((open_up | open_down) & (rest < F.abs("gap")))
     place = ["size", "cell", "rank"]
     choice = choice.groupBy("key").agg(F.min(F.struct(rest.alias("rest"), *place, F.signum("gap").cast("bigint").alias("step"))).alias("c"))
     choice = choice.select("key", *[F.col(f"c.{x}").alias(x) for x in (*place, "step")])
