@@ -249,16 +249,24 @@ def split_halves(tokens: DataFrame, cuts: DataFrame, keys: list[str], overlap: f
 
 
 def processing_units(tokens: DataFrame, pages: DataFrame, page_text: DataFrame) -> DataFrame:
-    """Work units of standard pages: one per region where there are several, else the page."""
+    """Work units of standard pages with text, density and payroll type: one per region where there are several, else the page.
+
+    ``source_region`` names the region of the page that a unit comes from, null for whole pages.
+    """
     regions = payslip_regions(tokens, pages)
     n = Window.partitionBy(*PAGE)
     counted = regions.withColumn("n", F.count("*").over(n))
     several = counted.where((F.col("n") > 1) & ~F.col("is_fallback"))
+    keys = [*PAGE, "index"]
+    density = ["char_count", "element_count", "line_count", "is_sparse", "is_scanned"]
     keyed = region_tokens(tokens, several)
-    parts = several.select(*PAGE, "index").join(spatial_text(keyed, [*PAGE, "index"]), [*PAGE, "index"], "left").select(
-        *PAGE, "index", F.concat(F.lit("page:"), "page", F.lit(":region:"), "index").alias("result_key"), F.coalesce("text", F.lit("")).alias("text")
+    parts = several.select(*keys).join(spatial_text(keyed, keys), keys, "left").join(page_density(keyed, several, keys), keys).select(
+        *keys, F.concat(F.lit("page:"), "page", F.lit(":region:"), "index").alias("result_key"), F.concat(F.lit("region:"), "index").alias("source_region"),
+        F.coalesce("text", F.lit("")).alias("text"), *density,
     )
-    single = counted.where((F.col("n") == 1)).select(*PAGE).join(page_text, PAGE, "left").select(
-        *PAGE, F.lit(None).cast("int").alias("index"), F.concat(F.lit("page:"), "page").alias("result_key"), F.coalesce("text", F.lit("")).alias("text")
+    whole = counted.where(F.col("n") == 1).select(*PAGE)
+    single = whole.join(page_text, PAGE, "left").join(page_density(tokens, whole), PAGE).select(
+        *PAGE, F.lit(None).cast("int").alias("index"), F.concat(F.lit("page:"), "page").alias("result_key"), F.lit(None).cast("string").alias("source_region"),
+        F.coalesce("text", F.lit("")).alias("text"), *density,
     )
     return parts.unionByName(single).withColumn("payroll_type", standard_payroll_type(F.col("text")))

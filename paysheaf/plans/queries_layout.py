@@ -307,11 +307,10 @@ _kept("v_hmarks", "(?i)Folha\\s+Normal|Mês\\s*:\\s*[a-z]{3}-\\d{2}", 55)
 _kept("v_fmarks", "(?i)TOTALDESCONTOS|SALARIOLIQUIDONOMES|Líquido", 30)
 
 
-@query(
-    "payslip_regions",
-    with_views(
-        ["v_sheets", "v_clus", "v_hmarks", "v_fmarks"],
-        """SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS index, y_start, CASE WHEN nxt IS NOT NULL THEN coalesce(foot + 15, nxt - 5) ELSE least(6500.0, coalesce(foot + 25, max_y + 15)) END AS y_end,
+view(
+    "v_regions",
+    ["v_sheets", "v_clus", "v_hmarks", "v_fmarks"],
+    """SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS index, y_start, CASE WHEN nxt IS NOT NULL THEN coalesce(foot + 15, nxt - 5) ELSE least(6500.0, coalesce(foot + 25, max_y + 15)) END AS y_end,
              text AS header_text, CAST(0.95 AS DOUBLE) AS confidence, FALSE AS is_fallback
            FROM (SELECT h.*, CASE WHEN i = 1 THEN greatest(0.0, line_y - 20) ELSE line_y - 8 END AS y_start, (SELECT max(line_y) FROM v_clus c WHERE c.doc_id = h.doc_id AND c.page = h.page) AS max_y,
                    (SELECT min(line_y) FROM v_fmarks f WHERE f.doc_id = h.doc_id AND f.page = h.page AND f.line_y > h.line_y AND (h.nxt IS NULL OR f.line_y < h.nxt)) AS foot
@@ -323,14 +322,45 @@ _kept("v_fmarks", "(?i)TOTALDESCONTOS|SALARIOLIQUIDONOMES|Líquido", 30)
            UNION ALL
            SELECT s.doc_id, CAST(s.page AS INTEGER), 0, 0.0, 6500.0, NULL, CAST(1.0 AS DOUBLE), TRUE FROM v_sheets s
            WHERE (SELECT count(*) FROM v_hmarks h WHERE h.doc_id = s.doc_id AND h.page = s.page) < 2 AND (SELECT count(*) FROM v_fmarks f WHERE f.doc_id = s.doc_id AND f.page = s.page) < 2""",
-    ),
 )
+
+
+@query("payslip_regions", with_views(["v_regions"], "SELECT * FROM v_regions"))
 def payslip_regions(spark, sf):
     toks, pages = tokens(spark, sf)
     return layout.payslip_regions(toks, pages).drop("lo", "hi")
 
 
-@query("processing_units")
+view("v_units", ["v_regions"], "SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n FROM v_regions")
+view(
+    "v_rtok",
+    ["v_units", "v_tok"],
+    """SELECT t.*, u.index FROM v_tok t JOIN v_units u ON u.doc_id = t.doc_id AND u.page = t.page AND n > 1 AND NOT is_fallback
+         AND t.y >= y_start - CASE WHEN header_text IS NULL THEN 0 ELSE 2 END AND t.y <= y_end + CASE WHEN header_text IS NULL THEN 0 ELSE 2 END""",
+)
+
+
+def _unit_sql(keys: str, source: str, units: str, text: str) -> str:
+    return f"""SELECT u.doc_id, u.page, u.index, u.result_key, u.source_region, coalesce(x.text, '') AS text, coalesce(c, 0) AS char_count, coalesce(e, 0) AS element_count, coalesce(l, 0) AS line_count,
+        coalesce(c, 0) < 100 AS is_sparse, coalesce(c, 0) < 50 OR (coalesce(e, 0) <= 4 AND coalesce(c, 0) < 200) AS is_scanned
+      FROM ({units}) u LEFT JOIN ({text}) x USING ({keys}) LEFT JOIN (SELECT {keys}, CAST(sum(length(trim(str))) AS BIGINT) AS c, count(*) AS e, count(DISTINCT {_B4}) FILTER (trim(str) <> '') AS l FROM {source} GROUP BY ALL) d USING ({keys})"""
+
+
+_PLAIN_TYPE = r"""CASE WHEN regexp_matches(p, '\bacerto\b|suplementar|complementar') THEN 'suplementar' WHEN regexp_matches(p, 'folha de pagamento:\s*\|?\s*mes\b') THEN 'normal'
+  WHEN regexp_matches(p, 'participacao.*(?:lucro|resultado)|\bplr\b') THEN 'plr'
+  WHEN regexp_matches(p[:600], 'folha de pagamento:[^\n]*(?:13|decimo)|\b13\s*(?:o\s+salario|salario)|decimo terceiro') THEN 'decimo_terceiro' ELSE 'normal' END"""
+
+
+@query(
+    "processing_units",
+    with_views(
+        ["v_units", "v_rtok", "v_tok"],
+        f"""SELECT * EXCLUDE (p), {_PLAIN_TYPE} AS payroll_type FROM (SELECT *, strip_accents(lower(text)) AS p FROM (
+              {_unit_sql("doc_id, page, index", "v_rtok", "SELECT doc_id, page, index, 'page:' || page || ':region:' || index AS result_key, 'region:' || index AS source_region FROM v_units WHERE n > 1 AND NOT is_fallback", spatial_sql("v_rtok", "doc_id, page, index"))}
+              UNION ALL
+              {_unit_sql("doc_id, page", "v_tok", "SELECT doc_id, page, CAST(NULL AS INTEGER) AS index, 'page:' || page AS result_key, CAST(NULL AS VARCHAR) AS source_region FROM v_units WHERE n = 1", spatial_sql("v_tok", "doc_id, page", 15.0))}))""",
+    ),
+)
 def processing_units(spark, sf):
     toks, pages = tokens(spark, sf)
     toks = shared(toks)
