@@ -81,7 +81,7 @@ def field_columns() -> dict[str, Column]:
 def base_columns() -> dict[str, Column]:
     """Canonical columns of a base or total; composite or overlong labels get no key."""
     known = F.col("_sid").isNotNull()
-    ambiguous = F.col("_label").contains("|") | (~known & (F.length("_label") > 80))
+    ambiguous = F.col("_label").contains("|") | (~known & (F.length("_label") > vocab.CLEAR_LABEL_CHARS))
     return {
         "code": F.lit(""),
         "label": F.when(known & ~ambiguous, summary_name(F.col("_sid"))).otherwise(F.col("_label")),

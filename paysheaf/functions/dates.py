@@ -69,20 +69,10 @@ def audited_month(label: Column) -> Column:
     )
 
 
-# --- fixed values: where a page prints its competency, most reliable first ---
-COMPETENCY_PATTERNS = [
-    r"(?iu)compet[eê]ncia\s*[:-]?\s*(0?[1-9]|1[0-2])[/-](20\d{2}|\d{2})",
-    r"(?iu)per[íi]odo\s*[:-]?\s*(0?[1-9]|1[0-2])[/-](20\d{2}|\d{2})",
-    r"(?iu)m[eê]s[/-]?ano\s*[:-]?\s*(0?[1-9]|1[0-2])[/-](20\d{2}|\d{2})",
-    r"(?iu)refer[eê]ncia\s*[:-]?\s*(0?[1-9]|1[0-2])[/-](20\d{2}|\d{2})",
-    r"(?m)(?:^|\s)(0[1-9]|1[0-2])/(20\d{2})(?:\s|$)",
-]
-
-
 def infer_competency(page_text: Column) -> Column:
     """Competency printed on a page as struct(month, year), null when none is found."""
     found = []
-    for pattern in COMPETENCY_PATTERNS:
+    for pattern in vocab.COMPETENCY_PATTERNS:
         month = F.regexp_extract(text(page_text), pattern, 1)
         year = _full_year(F.regexp_extract(text(page_text), pattern, 2))
         found.append(F.when(month != "", F.struct(F.lpad(month, 2, "0").alias("month"), year.alias("year"))))

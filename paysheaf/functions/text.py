@@ -12,13 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
+from .vocab import LETTER, MONEY, SUMMARY_HINT, WS, WS_CHARS  # noqa: F401
 
 # Java's \s leaves out the no-break and typographic spaces that PDF text is full of.
-WS_CHARS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-WS = f"[{WS_CHARS}]"
-MONEY = r"-?\d{1,3}(?:\.\d{3})*,\d{2}|-?\d+[.,]\d{2}"
-LETTER = "[A-Za-zÀ-ÿ]"
-SUMMARY_HINT = "(?iu)base|total|líquido|liquido|fgts|inss|irrf|irf|remunera|sal[aá]rio\\s+líquido|dias?\\s*/\\s*horas?"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -170,19 +166,17 @@ def summary_label(line: Column) -> Column:
     return F.coalesce(known, clean_label(F.coalesce(F.try_element_at(hinted, F.lit(1)), line)))
 
 
-DEDUCTION_LABEL = "(?iu)inss|irrf|desconto|falt|adiant|consign|pens[aã]o|plano|vale[- ]?(?:transporte|refei|alimenta)"
 
 
 def standard_payroll_type(page_text: Column) -> Column:
     """Payroll type of one page or region, from its words."""
 
     def choose(plain: Column) -> Column:
-        head_13 = r"folha de pagamento:[^\n]*(?:13|decimo)|\b13\s*(?:o\s+salario|salario)|decimo terceiro"
         return (
-            F.when(plain.rlike(r"\bacerto\b|suplementar|complementar"), "suplementar")
-            .when(plain.rlike(r"folha de pagamento:\s*\|?\s*mes\b"), "normal")
-            .when(plain.rlike(r"participacao.*(?:lucro|resultado)|\bplr\b"), "plr")
-            .when(F.substring(plain, 1, 600).rlike(head_13), "decimo_terceiro")
+            F.when(plain.rlike(vocab.PAGE_SUPPLEMENT), "suplementar")
+            .when(plain.rlike(vocab.PAGE_NORMAL), "normal")
+            .when(plain.rlike(vocab.PAGE_PROFIT), "plr")
+            .when(F.substring(plain, 1, vocab.TYPE_HEAD_CHARS).rlike(vocab.PAGE_13TH), "decimo_terceiro")
             .otherwise("normal")
         )
 
@@ -193,13 +187,13 @@ def block_payroll_type(block_text: Column) -> Column:
     """Payroll type of a month block; repeated 13th rows outrank single hints."""
 
     def choose(plain: Column) -> Column:
-        rows_13 = F.regexp_count(plain, F.lit(r"\b(?:371|374)\s+13"))
-        net_rows = F.regexp_count(plain, F.lit("salarioliquidonomes"))
+        rows_13 = F.regexp_count(plain, F.lit(vocab.BLOCK_13TH_ROW))
+        net_rows = F.regexp_count(plain, F.lit(vocab.BLOCK_NET_ROW))
         return (
             F.when((rows_13 >= 3) | (net_rows >= 3), "historico_13")
-            .when(plain.rlike("remuneracaomes|dias/?horastrab"), "normal")
-            .when(plain.rlike(r"\b311\s+part\s+lucr|\b313\s+irf\s+part\s+result"), "plr")
-            .when(plain.rlike(r"\b13\b|13o\.\s*sal|13\s*sal"), "decimo_terceiro")
+            .when(plain.rlike(vocab.BLOCK_NORMAL), "normal")
+            .when(plain.rlike(vocab.BLOCK_PROFIT), "plr")
+            .when(plain.rlike(vocab.BLOCK_13TH), "decimo_terceiro")
             .otherwise("suplementar")
         )
 

@@ -82,7 +82,7 @@ def coverage(
 
 def visible_codes(block_text: Column) -> Column:
     """Distinct codes printed before a label, line by line."""
-    per_line = F.transform(lines_of(block_text), lambda line: F.regexp_extract_all(line, F.lit(r"(?:^|\|)\s*([0-9]{1,4})\s+[A-Za-zÀ-ÿ]"), 1))
+    per_line = F.transform(lines_of(block_text), lambda line: F.regexp_extract_all(line, F.lit(vocab.VISIBLE_CODE), 1))
     return F.array_distinct(F.flatten(per_line))
 
 
@@ -95,8 +95,8 @@ def validate_block(block_text: Column, codes: Column, has_totals: Column, has_ba
     found = F.array_distinct(F.filter(F.transform(codes, trim_ws), lambda c: c != ""))
     lost = F.array_except(wanted, found)
     plain = text(block_text)
-    expects_totals = plain.rlike(r"(?iu)TOT\.?\s*RENDIMENTOS|TOTAL\s*DESCONTOS|SALARIO\s*LIQUIDO")
-    expects_bases = plain.rlike(r"(?iu)BASE\s*DE\s*CALCULO|BASEDECALCULO|VALOR\s*DO\s*FGTS")
+    expects_totals = plain.rlike(vocab.EXPECTS_TOTALS)
+    expects_bases = plain.rlike(vocab.EXPECTS_BASES)
     share = F.when(F.size(wanted) > 0, F.size(found) / F.size(wanted)).otherwise(F.when(F.size(found) > 0, 1.0).otherwise(0.0))
     return {
         "coverage": share,

@@ -16,7 +16,7 @@ def _hits(c: Column, patterns: list[str]) -> Column:
     return total
 
 
-def opening_text(page_text: DataFrame, pages: int = 4) -> DataFrame:
+def opening_text(page_text: DataFrame, pages: int = vocab.GUARD_PAGES) -> DataFrame:
     """Accent-free lower-case text of the first pages of every document."""
     first = page_text.where(F.col("page") <= pages)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", text(F.col("text")).alias("t")))), lambda p: p["t"]), " ")

@@ -46,10 +46,10 @@ def payroll_types(records: DataFrame, items: DataFrame, keys: list[str]) -> Data
     code = text(F.col("code"))
     words = F.concat_ws(" ", code, text(F.col("label")))
     shown = items.where(F.col("kind") == "field").groupBy(*keys).agg(
-        F.count_if(code.rlike("^(?:371|374)$")).alias("_rows_13"),
-        F.bool_or(words.rlike(r"(?i)\b311\s+Part\s+Lucr|\b313\s+IRF\s+Part")).alias("_profit"),
-        F.bool_and(code.rlike("^(?:311|313)$")).alias("_only_profit"),
-        F.bool_or(words.rlike(r"(?iu)13[âºo°]|13o\.\s*Sal")).alias("_label_13"),
+        F.count_if(code.rlike(vocab.ITEM_13TH_CODE)).alias("_rows_13"),
+        F.bool_or(words.rlike(vocab.ITEM_PROFIT)).alias("_profit"),
+        F.bool_and(code.rlike(vocab.ITEM_PROFIT_CODE)).alias("_only_profit"),
+        F.bool_or(words.rlike(vocab.ITEM_13TH_LABEL)).alias("_label_13"),
     )
     inferred = (
         F.when(F.col("_rows_13") >= 3, "historico_13")
