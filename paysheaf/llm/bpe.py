@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 from ..session import scratch_dir
-from .shared import stored
+from .shared import kept_by_worker, stored
 
 # fixed value: the split of byte-level BPE
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LN}]+|\s+(?!\S)|\s+"
@@ -39,6 +39,13 @@ LONG_WORD = 64
 BATCH_BYTES = 8 << 20
 
 
+_SLOT_BITS = 20
+
+
+def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @lru_cache(1)
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files."""
@@ -47,13 +54,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-@lru_cache(1)
 def _splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
     """The usual split, the exact split, and the characters that need the exact one.
 
     The tokenizers library and the regex module know different versions of Unicode, so characters that one of them calls a
     letter or a number and Python's own table does not know are asked of the library.
     """
+    return kept_by_worker(("splitters",), _make_splitters)
+
+
+def _make_splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
     split = pre_tokenizers.ByteLevel(add_prefix_space=False)
     either = regex.compile(r"[\p{L}\p{N}]")
     newer = []
@@ -86,10 +96,29 @@ class Vocabulary:
         key = pairs[:, 0] << 32 | pairs[:, 1]
         self.rank = dict(zip(key.tolist(), zip(range(len(key)), pairs[:, 2].tolist())))
         ranks = np.array([self.rank[k][0] for k in key.tolist()], np.int64)
-        order = np.argsort(key, kind="stable")
-        self.pair_keys, self.pair_ranks, self.pair_ids = key[order], ranks[order], pairs[order, 2]
+        self.pair_keys, self.pair_ranks, self.pair_ids = key, ranks, pairs[:, 2]
+        # place of each pair by hash; the few pairs whose slot is taken are looked up in order
+        self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
+        slot = _slot(key, _SLOT_BITS)
+        self.slots[slot[::-1]] = np.arange(len(key), dtype=np.int32)[::-1]
+        self.met = np.flatnonzero(self.slots[slot] != np.arange(len(key)))
+        self.met = self.met[np.argsort(key[self.met])]
+        self.doubtful = np.zeros(1 << _SLOT_BITS, bool)
+        self.doubtful[slot[self.met]] = True
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    def place(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the table of merges, and whether it is there."""
+        at = self.slots[_slot(pairs, _SLOT_BITS)]
+        known = self.pair_keys[at] == pairs
+        if len(self.met):
+            rest = np.flatnonzero(self.doubtful[_slot(pairs, _SLOT_BITS)] & ~known)
+            i = np.searchsorted(self.pair_keys[self.met], pairs[rest])
+            i[i == len(self.met)] = 0
+            hit = self.pair_keys[self.met[i]] == pairs[rest]
+            at[rest[hit]], known[rest[hit]] = self.met[i[hit]], True
+        return at, known
+
     def merge_long(self, word: bytes) -> list[int]:
         """Merges of one word, lowest rank first, then leftmost."""
         ids, rank = self.id_of_byte[np.frombuffer(word, np.uint8)].tolist(), self.rank
@@ -129,10 +158,8 @@ class Vocabulary:
         while len(which):
             starts = np.cumsum(sizes) - sizes
             pairs = symbols[:-1] << 32 | symbols[1:]
-            at = np.searchsorted(self.pair_keys, pairs)
-            at[at == len(self.pair_keys)] = 0
+            at, known = self.place(pairs)
             score = np.full(len(symbols), np.iinfo(np.int64).max)
-            known = self.pair_keys[at] == pairs
             known[(starts - 1)[starts > 0]] = False
             score[:-1][known] = self.pair_ranks[at[known]] << 32 | np.flatnonzero(known)
             best = np.minimum.reduceat(score, starts)
@@ -257,20 +284,15 @@ def _pieces(vocabulary: Vocabulary, text: str) -> Iterator[tuple[bool, str]]:
             yield piece in vocabulary.special, piece
 
 
-def _split(text: str) -> list[str]:
-    usual, exact, newer = _splitters()
+def _split(text: str, splitters: tuple | None = None) -> list[str]:
+    usual, exact, newer = splitters or _splitters()
     if newer is not None and not text.isascii() and _HIGH.search(text) and newer.search(text):
         return exact.findall(text)
     return usual.findall(text)
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def _vocabulary(path: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    return kept_by_worker(("vocabulary", path), lambda: Vocabulary(path))
 
 
 class Coder:
@@ -293,6 +315,7 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         split = []
+        splitters = _splitters()
         for text in texts:
             words: list[str] = []
             marks: dict[int, str] = {}
@@ -301,7 +324,7 @@ class Coder:
                     marks[len(words)] = piece
                     words.append("")
                 else:
-                    words += _split(piece)
+                    words += _split(piece, splitters)
             split.append((words, marks))
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
@@ -328,28 +351,27 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, pc.fill_null(part.column("text"), "").to_pylist()
 
 
-def word_counts(document_text: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``word, n``: how often each split word occurs, over all texts."""
+def word_counts(document_text: DataFrame) -> DataFrame:
+    """``word, n``: how often each run between spaces occurs, over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(vocabulary_path)
         for _, texts in _batches(batches):
             counts: Counter[str] = Counter()
             for text in texts:
-                for special, piece in _pieces(vocabulary, text):
-                    if not special:
-                        counts.update(_split(piece))
+                counts.update(text.split(" "))
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     return document_text.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(document_text: DataFrame, vocabulary_path: str, max_words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent split words, ``max_words`` at most; words as rare as the first that no longer fits are left out.
+def frequent_words(document_text: DataFrame, max_words: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words with the space before them, ``max_words`` at most; words as rare as the first that no longer fits are left out.
+
+    Runs between spaces that the tokenizer would split are no words.
 
     A count that one word more would exceed is found from the numbers of words of each count, so only words of the lexicon reach the driver.
     """
-    counted = word_counts(document_text, vocabulary_path).where((F.col("n") > 1) & (F.length("word") <= LONG_WORD))
+    counted = word_counts(document_text).where((F.col("n") > 1) & F.length("word").between(1, LONG_WORD - 1))
     counted = stored(counted, "words")
     sizes = counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
     kept, least = 0, None
@@ -360,7 +382,8 @@ def frequent_words(document_text: DataFrame, vocabulary_path: str, max_words: in
         least = row["n"]
     if least is None:
         return []
-    return [r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator()]
+    runs = [" " + r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator()]
+    return [w for w in runs if _split(w) == [w]]
 
 
 def ship_lexicon(document_text: DataFrame, vocabulary_path: str, max_words: int = LEXICON_WORDS) -> str:
@@ -369,7 +392,7 @@ def ship_lexicon(document_text: DataFrame, vocabulary_path: str, max_words: int
     At most ``max_words`` rows reach the driver. Rarer words need no lexicon: they are merged exactly.
     """
     spark = document_text.sparkSession
-    words = [w.encode() for w in frequent_words(document_text, vocabulary_path, max_words)]
+    words = [w.encode() for w in frequent_words(document_text, max_words)]
     folder = scratch_dir(spark, "lexicon")
     # the driver's own copy; executors get theirs through Spark
     folder = folder.removeprefix("file://") if folder.startswith(("file:///", "/")) else tempfile.mkdtemp(prefix="lexicon-")
@@ -410,7 +433,7 @@ def _coded(document_text: DataFrame, vocabulary_path: str, max_words: int, schem
     types = [pa.int64() if "bigint" in f else pa.binary() if "binary" in f else pa.string() for f in schema.split(", ")][1:]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_vocabulary(vocabulary_path), Lexicon(SparkFiles.get(name)))
+        coder = kept_by_worker(("coder", name), lambda: Coder(_vocabulary(vocabulary_path), Lexicon(SparkFiles.get(name))))
         for part, texts in _batches(batches):
             rows = [result(ids, coder.decode(ids)) for ids in coder.encode(texts)]
             columns = [pa.array(column, t) for column, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]

@@ -1,11 +1,18 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and what a Python worker keeps between tasks."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.sql import DataFrame
 
 from ..session import scratch_dir
 
+Made = TypeVar("Made")
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: a cut in the lineage that outlives executors."""
@@ -13,3 +20,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_by_worker(name: tuple, make: Callable[[], Made]) -> Made:
+    """What ``make`` gives, made once for all tasks that one Python worker runs.
+
+    Functions travel to the workers by value, with fresh globals for every task, so a module of the
+    interpreter holds what is kept.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
