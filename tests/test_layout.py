@@ -109,3 +109,28 @@ def test_planned_calls(spark):
 def test_guard(spark, body, verdict):
     page = spark.createDataFrame([("d", 1, body), ("d", 5, "holerite")], readers.PAGE_TEXT)
     assert guard.classify(guard.opening_text(page)).first().classification == verdict
+
+
+def test_vertical_cut_equals_all_candidates(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for page in range(40):
+        for i in range(rng.randrange(1, 40)):
+            rows.append(("d", page, i, "x", rng.choice([0.0, rng.randrange(0, 600) / 2, rng.random() * 300]), 10.0, rng.choice([None, 0.0, 7.0, rng.random() * 90])))
+    toks = spark.createDataFrame(rows, "doc_id string, page int, item_ord int, str string, x double, y double, width double")
+    extents = toks.groupBy("doc_id", "page").agg(F.min("x").alias("x_min"), F.max(F.col("x") + F.coalesce("width", F.lit(0.0))).alias("x_max"))
+    got = {r["page"]: r["x_cut"] for r in layout.vertical_cut(toks, extents, ["doc_id", "page"]).collect()}
+    for page, lo, hi in [(r["page"], r["x_min"], r["x_max"]) for r in extents.collect()]:
+        mid, radius = lo + (hi - lo) / 2, (hi - lo) * 0.25
+        boxes = [(r[4] or 0.0, (r[4] or 0.0) + (r[6] if r[6] and r[6] > 0 else 20.0)) for r in rows if r[1] == page]
+        best = min((sum(a + 1 < x < b - 1 for a, b in boxes) * 1000 + abs(x - mid), k, x) for k in range(int(radius) + 1) for x in [mid - radius + k * 2])
+        assert got[page] == int(best[2] * 100 + 0.5) / 100
+
+
+def test_vertical_cut_of_a_very_wide_page(spark):
+    toks = spark.range(20_000).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), (F.col("id") * 40).cast("double").alias("x"), F.lit(30.0).alias("width"))
+    extents = toks.groupBy("doc_id", "page").agg(F.min("x").alias("x_min"), F.max(F.col("x") + F.col("width")).alias("x_max"))
+    (row,) = layout.vertical_cut(toks, extents, ["doc_id", "page"]).collect()
+    assert not 1 < row["x_cut"] % 40 < 29

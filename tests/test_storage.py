@@ -1,8 +1,6 @@
 """Result stores, audited text files, and operators that pass all columns through."""
 
-from pyspark.sql import functions as F
-
-from paysheaf.operators import coverage, edits, reconcile
+from paysheaf.operators import coverage, edits, reconcile, unify
 from paysheaf.sources import readers, sinks
 
 
@@ -61,3 +59,26 @@ def test_a_record_with_only_totals_is_valid(spark):
     got = {r["doc_id"]: (r["valid"], r["coverage"]) for r in coverage.coverage(empty, empty, empty, empty, empty, records, keys, totals).collect()}
     assert got == {"a": (True, 1.0), "b": (False, 0.0)}
     assert {r["doc_id"]: r["valid"] for r in coverage.coverage(empty, empty, empty, empty, empty, records, keys).collect()} == {"a": False, "b": False}
+
+
+def test_raw_pages_keep_headers_and_print_numbers(spark):
+    raw = '''{"pages": [{"pageNumber": 2, "blockIndex": 1, "month": "01", "year": "2020", "company": {"name": "ACME", "cnpj": "12"}, "employee": {"name": "Ana", "cpf": "9", "role": "chefe"},
+      "bankInfo": {"bank": "B", "agency": "1", "account": "2"}, "extraction": {"valid": false, "warnings": ["fraco"]},
+      "items": [{"code": "1", "label": "a", "value": 1234.5}, {"code": "2", "label": "b", "value": " 7,00 "}, {"code": "3", "label": "c", "value": 0, "amount": 10}, {"code": "4", "label": "d", "value": "1234.5"}]}]}'''
+    pages = readers.raw_pages(spark.createDataFrame([("d", raw)], "doc_id string, raw_json string"))
+    (head,) = pages.collect()
+    assert (head["company"], head["cnpj"], head["cpf"], head["role"], head["bank"], head["block_index"], head["warnings"], head["extraction_valid"]) == ("ACME", "12", "9", "chefe", "B", 1, ["fraco"], False)
+    values = {r["code"]: r["value"] for r in readers.raw_page_items(pages).collect()}
+    assert values == {"1": "1.234,50", "2": "7,00", "3": "10,00", "4": "1234.5"}
+
+
+def test_headers_come_whole_from_the_first_page_that_has_one(spark):
+    schema = "doc_id string, page_ord long, month string, year string, record_key string, review_required boolean, company string, cnpj string, employee string, cpf string, bank string, agency string, payment_date string, warnings array<string>"
+    rows = [
+        ("d", 1, "01", "2020", "a", False, None, None, "Ana", None, None, None, None, ["um"]),
+        ("d", 2, "01", "2020", "b", True, "ACME", None, "Bia", "9", "B", None, None, None),
+        ("d", 3, "01", "2020", "c", False, "Outra", "12", None, None, None, "1", "05/02", None),
+    ]
+    (head,) = unify.unify_headers(spark.createDataFrame(rows, schema)).collect()
+    got = tuple(head[c] for c in ("company", "cnpj", "employee", "cpf", "bank", "agency", "payment_date", "warnings", "review_required"))
+    assert got == ("ACME", None, "Ana", None, "B", None, "05/02", ["um"], True)
