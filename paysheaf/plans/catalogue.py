@@ -15,6 +15,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _closed(kept: reuse.Scope) -> None:
+    # a stopped session has dropped them already
+    if SparkSession.getActiveSession() is not None:
+        kept.close()
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @functools.wraps(fn)
@@ -22,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             with reuse.scope() as kept:
                 df = fn(spark, sf_dir)
             # frames of this query go with its result
-            weakref.finalize(df, kept.close).atexit = False
+            weakref.finalize(df, _closed, kept).atexit = False
             return df
 
         QUERIES[name] = run
