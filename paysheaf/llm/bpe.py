@@ -33,10 +33,10 @@ _HIGH = re.compile("[\u0558-\U0010ffff]")
 
 LEXICON_WORDS = 100_000
 #: Words that a worker remembers between batches.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 _SLOT_BITS = 20

@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 #: All ASCII characters but letters and digits.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _BASE = 0x9E6C63D0876A9A35 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
