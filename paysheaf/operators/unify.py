@@ -197,8 +197,8 @@ def unify_bases(items: DataFrame, records: DataFrame) -> DataFrame:
         .withColumns({c: text(F.col(c)) for c in ("label", "reference", "value")})
     )
     # a keyless base repeats the first base of the same label key even if that one has a key
-    keyless = rows.where(F.col("canonical_key").isNull()).select(*COMPETENCY, label_key(F.col("label")).alias("lk"))
-    named = rows.withColumn("lk", label_key(F.col("label")))
+    named = shared(rows.withColumn("lk", label_key(F.col("label"))))
+    keyless = named.where(F.col("canonical_key").isNull()).select(*COMPETENCY, "lk")
     leaders = (
         named.join(keyless.distinct(), [*COMPETENCY, "lk"])
         .groupBy(*COMPETENCY, "lk")
