@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
+#: Tasks that the links of one node are dealt to.
+SALTS = 16
+
 
 def _star(links: DataFrame) -> DataFrame:
-    """Link every node and its neighbours to the smallest of them; a node with very many neighbours is a skewed join side, never one group."""
+    """Link every node and its neighbours to the smallest of them; the links of a node with very many neighbours meet it in many tasks."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    least = least.select("u", F.least("u", "m").alias("m"), salts.alias("salt"))
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least, ["u", "salt"]).drop("salt")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
