@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from paysheaf.llm import imatch, passages, simhash
+import corpus_pipeline
+from paysheaf.llm import imatch, near, passages, simhash
 
 
 def words(rng, n, of=4000):
@@ -161,3 +162,30 @@ def test_imatch_fingerprints_depend_on_the_set_of_band_terms(spark):
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(frame(spark, texts)).collect()}
     assert got[0] == got[900] == got[901] and imatch.likeness(got[0], got[902]) > 0.7
     assert np.mean([imatch.likeness(got[i], got[i + 1]) for i in range(100)]) < 0.1
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicate_stage_equals_all_pairs(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(0, 240, 8):
+        base = words(rng, 200)
+        for j in range(8):  # edits of 0 to 7 words: similarities around 0.8 and chains of them
+            copy = list(base)
+            for at in rng.sample(range(200), j):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts[i + j] = " ".join(copy)
+    # many texts with a common half share bands without being similar
+    half = words(rng, 150)
+    texts |= {1000 + i: " ".join(half + words(rng, 60)) for i in range(40)}
+    linked = [(a, b) for a, b in combinations(texts, 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = grouped(texts, linked)
+    assert any((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 2 for a, b in linked)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(frame(spark, texts)).collect()}
+    assert got == want
+    docs = frame(spark, texts).selectExpr("doc_id", "text", "'pt' AS lang", "'a' AS source", "length(text) AS n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want.values())
