@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -101,14 +102,15 @@ def scanned(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RU
 
 
 def by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of each version of each document.
+    """Findings of each version of each document, of the current versions of the rules.
 
     Takes ``doc_id, attempts, text`` and ``FINDINGS``; gives ``doc_id, attempts, blob`` and ``spans``, an array of
     ``(start, end, rule_ord, kind)`` in the order of start, then rule (empty where nothing was found).
     Null texts are empty; repeated paths come back as often; an empty table gives no rows.
     """
     order = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)])
-    per_blob = findings.groupBy("blob").agg(
+    current = F.coalesce(*[F.when(F.col("kind") == r.kind, F.col("version") == r.version) for r in rules])
+    per_blob = findings.where(current).groupBy("blob").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", order.alias("rule_ord"), "kind")),
                      lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(a["rule_ord"] - b["rule_ord"]).cast("int")).alias("spans")
     )
@@ -121,10 +123,37 @@ def empty_ledger(versions: DataFrame) -> DataFrame:
     return versions.sparkSession.createDataFrame([], LEDGER)
 
 
-def secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan what ``ledger`` lacks and give the findings of every path (``by_path``)."""
-    findings = stored(scan_unseen(versions, empty_ledger(versions) if ledger is None else ledger, rules), "findings")
-    return by_path(versions, findings, rules)
+def kept(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Ledger and findings of all runs that wrote to ``folder``; empty before the first."""
+    out = []
+    for name, schema in (("ledger", LEDGER), ("findings", FINDINGS)):
+        try:
+            out.append(spark.read.schema(schema).parquet(f"{folder}/{name}"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out.append(spark.createDataFrame([], schema))
+    return out[0], out[1]
+
+
+def secrets(
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, earlier: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
+    """Scan what ``ledger`` lacks and give the findings of every path (``by_path``), those of earlier runs included.
+
+    ``earlier`` holds the ``FINDINGS`` of the runs in the ledger. Or ``folder`` keeps both from run to run: findings are
+    written before the ledger, so a run that fails between them is scanned again and repeats rows, which do not count twice.
+    """
+    if (ledger is None) != (earlier is None) or (folder is not None and ledger is not None):
+        raise ValueError("a ledger needs the findings of its runs; give both, or a folder that holds them")
+    if folder is not None:
+        ledger, earlier = kept(versions.sparkSession, folder)
+    new = stored(scan_unseen(versions, empty_ledger(versions) if ledger is None else ledger, rules), "findings")
+    if folder is not None:
+        pairs = stored(unseen(blobs(versions), ledger, rules), "ledger")
+        new.write.mode("append").parquet(f"{folder}/findings")
+        pairs.write.mode("append").parquet(f"{folder}/ledger")
+    return by_path(versions, new if earlier is None else earlier.select(new.columns).union(new), rules)
 
 
 def of_kind(spans: Column, *kinds: str) -> Column:
@@ -150,9 +179,11 @@ def masked(text: Column, spans: Column, mark: str = "[removed]") -> Column:
     return F.when(F.size(spans) > 0, start).otherwise(text)
 
 
-def cleaned(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with every secret in ``text`` replaced by a mark; all rows and columns stay."""
-    found = secrets(versions, ledger, rules).where(F.size("spans") > 0).distinct()
+def cleaned(
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, earlier: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
+    """``versions`` with every secret in ``text`` replaced by a mark, also those that earlier runs found (see ``secrets``); all rows and columns stay."""
+    found = secrets(versions, ledger, rules, earlier, folder).where(F.size("spans") > 0).distinct()
     found = found.select(F.struct("doc_id", "attempts").alias("_path"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     same = F.struct("doc_id", "attempts").eqNullSafe(F.col("_path")) & (blob_of(F.col("text")) == F.col("_blob"))
     joined = versions.join(found.hint("shuffle_hash"), same, "left")

@@ -92,6 +92,32 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r["kind"] for r in secret_scan.unseen(secret_scan.blobs(old), ledger, newer).collect()} == {"hex"}
 
 
+def test_second_run_keeps_the_secrets_of_the_first(spark, tmp_path):
+    token, other = "f" * 40, "e" * 40
+    schema = "doc_id bigint, attempts int, text string"
+    old = frame(spark, [(1, 1, f"a {token}"), (2, 1, "nada")], schema)
+    new = old.union(frame(spark, [(1, 2, f"b {other}"), (3, 1, f"a {token}")], schema))
+    want = {(1, 1): "a [removed]", (2, 1): "nada", (1, 2): "b [removed]", (3, 1): "a [removed]"}
+
+    def texts(df):
+        return {(r["doc_id"], r["attempts"]): r["text"] for r in df.collect()}
+
+    folder = str(tmp_path / "store")
+    assert all(len(r["spans"]) == (r["doc_id"] == 1) for r in secret_scan.secrets(old, folder=folder).collect())
+    assert texts(secret_scan.cleaned(new, folder=folder)) == want
+    assert texts(secret_scan.cleaned(new, folder=folder)) == want
+    ledger, findings = secret_scan.kept(spark, folder)
+    assert (ledger.count(), findings.count()) == (3 * len(secret_scan.RULES), 2)
+    spans = {(r["doc_id"], r["attempts"]): len(r["spans"]) for r in secret_scan.secrets(new, ledger, earlier=findings).collect()}
+    assert spans == {(1, 1): 1, (2, 1): 0, (1, 2): 1, (3, 1): 1}
+    assert texts(secret_scan.cleaned(new, ledger, earlier=findings)) == want
+    # findings of a rule's earlier version do not count
+    newer = tuple(secret_scan.Rule(r.kind, r.version + (r.kind == "hex"), "[0-9]{32,}" if r.kind == "hex" else r.pattern, r.group, r.min_chars) for r in secret_scan.RULES)
+    assert not any(r["spans"] for r in secret_scan.secrets(new, rules=newer, folder=folder).collect())
+    with pytest.raises(ValueError):
+        secret_scan.secrets(new, ledger)
+
+
 def test_licence_blocks_equal_all_comparisons(spark):
     rng = random.Random(8)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + [f"w{i}" for i in range(50)]
