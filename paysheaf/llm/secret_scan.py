@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,13 @@ RULES = (
     Rule("webtoken", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 32),
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 )
+# a whole key: to its END line if that comes before another BEGIN line, else over the header and base64 lines that follow
+_KEY_BLOCK = (
+    r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>[\s\S]*?-----(?=(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----))END [A-Z ]*PRIVATE KEY-----"""
+    r"""|(?:\s+(?:Proc-Type|DEK-Info): [^\r\n]*)*+(?:(?:\s+[A-Za-z0-9+/]{16,}={0,2}(?!\S))++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n]|$)))?)?)"""
+)
+#: The rules for taking secrets out of texts: as ``RULES``, with the key below its first line.
+CLEANING_RULES = tuple(replace(r, version=2, pattern=_KEY_BLOCK) if r.kind == "private_key" else r for r in RULES)
 BASE_KINDS = ("assign", "access", "hex")
 
 LEDGER = "blob string, kind string, version int"
@@ -180,7 +187,7 @@ def masked(text: Column, spans: Column, mark: str = "[removed]") -> Column:
 
 
 def cleaned(
-    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, earlier: DataFrame | None = None, folder: str | None = None
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = CLEANING_RULES, earlier: DataFrame | None = None, folder: str | None = None
 ) -> DataFrame:
     """``versions`` with every secret in ``text`` replaced by a mark, also those that earlier runs found (see ``secrets``); all rows and columns stay."""
     found = secrets(versions, ledger, rules, earlier, folder).where(F.size("spans") > 0).distinct()
