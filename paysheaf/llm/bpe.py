@@ -11,7 +11,6 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,6 @@ def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
     return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-@lru_cache(1)
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,7 +58,7 @@ def _splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
     The tokenizers library and the regex module know different versions of Unicode, so characters that one of them calls a
     letter or a number and Python's own table does not know are asked of the library.
     """
-    return kept_by_worker(("splitters",), _make_splitters)
+    return kept_by_worker("splitters", None, _make_splitters)
 
 
 def _make_splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
@@ -268,9 +266,10 @@ class Lexicon:
         good = (state >= 0) & (sizes > 0)
         good[good] = self.final[state[good]] == 1
         out: list[bytes | None] = [None] * n
-        packed = np.asarray(self.ids).astype("<u4").tobytes()
-        for i, k in zip(np.flatnonzero(good).tolist(), number[good].tolist()):
-            out[i] = packed[4 * (int(self.ends[k - 1]) if k else 0) : 4 * int(self.ends[k])]
+        number = number[good]
+        starts, stops = np.where(number > 0, self.ends[number - 1], 0), self.ends[number]
+        for i, a, b in zip(np.flatnonzero(good).tolist(), starts.tolist(), stops.tolist()):
+            out[i] = self.ids[a:b].astype("<u4").tobytes()
         return out
 
 
@@ -292,7 +291,7 @@ def _split(text: str, splitters: tuple | None = None) -> list[str]:
 
 
 def _vocabulary(path: str) -> Vocabulary:
-    return kept_by_worker(("vocabulary", path), lambda: Vocabulary(path))
+    return kept_by_worker("vocabulary", path, lambda: Vocabulary(path))
 
 
 class Coder:
@@ -433,10 +432,11 @@ def _coded(document_text: DataFrame, vocabulary_path: str, max_words: int, schem
     types = [pa.int64() if "bigint" in f else pa.binary() if "binary" in f else pa.string() for f in schema.split(", ")][1:]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept_by_worker(("coder", name), lambda: Coder(_vocabulary(vocabulary_path), Lexicon(SparkFiles.get(name))))
+        coder = kept_by_worker("coder", (vocabulary_path, name), lambda: Coder(_vocabulary(vocabulary_path), Lexicon(SparkFiles.get(name))))
         for part, texts in _batches(batches):
             rows = [result(ids, coder.decode(ids)) for ids in coder.encode(texts)]
             columns = [pa.array(column, t) for column, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], fields)
+        coder.known.clear()
 
     return docs.mapInArrow(code, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, language_model, licenses, mixing, passages, quality, secret_scan, simhash, toxicity
+from . import bpe, imatch, language_model, licenses, mixing, passages, pieces, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_passages")
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(document_text(spark, sf_dir))
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(document_text(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

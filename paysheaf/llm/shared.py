@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 from types import ModuleType
 from typing import TypeVar
 
@@ -22,13 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_by_worker(name: tuple, make: Callable[[], Made]) -> Made:
-    """What ``make`` gives, made once for all tasks that one Python worker runs.
+def kept_by_worker(slot: str, key: Hashable, make: Callable[[], Made]) -> Made:
+    """What ``make`` gives, made once for all tasks of one Python worker that ask ``slot`` for the same ``key``.
 
-    Functions travel to the workers by value, with fresh globals for every task, so a module of the
-    interpreter holds what is kept.
+    A slot holds one thing: another key replaces it, so a worker does not grow from run to run. Functions travel to the
+    workers by value, with fresh globals for every task, so a module of the interpreter holds what is kept.
     """
     kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if slot not in kept or kept[slot][0] != key:
+        kept.pop(slot, None)
+        kept[slot] = (key, make())
+    return kept[slot][1]
