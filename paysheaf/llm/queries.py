@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, language_model, licenses, mixing, passages, pieces, quality, secret_scan, simhash, toxicity
+from . import bpe, hard_negatives, imatch, language_model, licenses, mixing, passages, pieces, quality, secret_scan, simhash, spelling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +166,35 @@ def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_pieces")
 def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(document_text(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op12_hard_negatives", _OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return hard_negatives.mined(rows.select(F.col("vec_id").alias("row_id"), vector.alias("vector"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(document_text(spark, sf_dir), spelling.LEAST_CHARS)
+    # misprints by a fixed rule, so that there is something to find
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "run"))
+    at = (h % F.length("run")).cast("int")
+    misprint = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return spelling.variants(spelling.word_counts(runs.select("doc_id", F.when(h % 31 == 0, misprint).otherwise(F.col("run")).alias("run"))))

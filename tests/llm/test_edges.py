@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paysheaf.llm import bpe, imatch, language_model, licenses, mixing, passages, quality, records, secret_scan, simhash, toxicity
+from paysheaf.llm import bpe, imatch, language_model, licenses, mixing, near, passages, pieces, quality, records, secret_scan, simhash, spelling, toxicity
 
 SCHEMA = (
     "doc_id bigint, text string, company string, lang string, source string, n_chars bigint, row int, key string, size int, attempts int, "
@@ -24,6 +24,7 @@ EDGES = rows(
     (None, PAGE, "c"), (8, "token = abcdefgh12 MIT License", "c"), (9, "é  ß 😀 \x00", "c"), (10, "recibo", "b"), (10, "outro recibo", "b"),
 )
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def labels(docs):
@@ -45,12 +46,17 @@ OPERATORS = {
     "simhash": simhash.near_duplicates,
     "first_of_groups": simhash.first_of_groups,
     "bpe": lambda d: bpe.encoded(d, TOKENIZER),
+    "pieces": lambda d: pieces.encoded(d, PIECES),
+    "piece_digests": lambda d: pieces.digests(d, PIECES),
+    "spelling": lambda d: spelling.variants(spelling.word_counts(spelling.runs(d))),
+    "near": near.near_duplicates,
+    "near_first": near.first_of_groups,
     "toxicity": lambda d: toxicity.judged(d, labels(d)),
     "language_model": language_model.scored,
     "language_model_joins": lambda d: language_model.scored(d, by_joins=True),
 }
 # rows that leave by each operator's own rule
-ALL = {"licenses", "quality", "quality_carry", "secrets", "cleaned", "mixture", "imatch_prints", "simhash", "bpe", "toxicity", "language_model", "language_model_joins"}
+ALL = {"licenses", "quality", "quality_carry", "secrets", "cleaned", "mixture", "imatch_prints", "simhash", "bpe", "pieces", "piece_digests", "toxicity", "language_model", "language_model_joins"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
