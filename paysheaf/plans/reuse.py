@@ -22,20 +22,46 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
+class _Kept:
+    """A kept frame and how many scopes own it."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.owners = df.persist(StorageLevel.MEMORY_AND_DISK), 0
+
+
+#: Kept frames by application and plan. Spark keeps equal plans once, so they are dropped with their last owner only.
+_kept: dict[tuple[str, int], list[_Kept]] = {}
+
+
+def _own(df: DataFrame) -> tuple[list[_Kept], _Kept]:
+    same = _kept.setdefault((df.sparkSession.sparkContext.applicationId, df.semanticHash()), [])
+    for kept in same:
+        if kept.df.sameSemantics(df):
+            return same, kept
+    same.append(_Kept(df))
+    return same, same[-1]
+
+
 class Scope:
     """Frames kept for one caller."""
 
     def __init__(self) -> None:
-        self.frames: list[DataFrame] = []
+        self.frames: list[tuple[list[_Kept], _Kept]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.frames[-1]
+        same, kept = _own(df)
+        kept.owners += 1
+        self.frames.append((same, kept))
+        return df
 
     def close(self) -> None:
-        """Drop what is kept; results that depend on it are recomputed when used again."""
+        """Drop what no other scope keeps; results that depend on it are recomputed when used again."""
         while self.frames:
-            self.frames.pop().unpersist()
+            same, kept = self.frames.pop()
+            kept.owners -= 1
+            if not kept.owners:
+                same.remove(kept)
+                kept.df.unpersist()
 
 
 _active: ContextVar[Scope | None] = ContextVar("scope", default=None)
