@@ -166,13 +166,6 @@ def search(jobs: DataFrame, words: str = "", status: str = "todos") -> DataFrame
     return jobs.where(named if status == "todos" else named & (F.col("status") == status))
 
 
-def page_of(jobs: DataFrame, page: int, size: int = vocab.JOBS_PER_PAGE) -> DataFrame:
-    """One page of the list; a page past the end shows the last one."""
-    total = jobs.count()
-    last = max(1, -(-total // size))
-    return list_jobs(jobs).offset((min(max(page, 1), last) - 1) * size).limit(size)
-
-
 def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "concluido").alias("completed"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from .. import session
 from ..operators import state
-from ..sources import testviews
+from ..sources import job_listing, job_store, testviews
 from ..streaming import unit_results
 from .catalogue import query
 from .duck import view, with_views
@@ -56,7 +58,7 @@ def _streamed(spark, rows, fold, keys):
     """The table that a stream over everything available leaves, in a fresh folder of the session."""
     root = session.scratch_dir(spark, "stream")
     unit_results.run_to_table(rows, f"{root}/table", f"{root}/checkpoint", fold, keys)
-    return unit_results.read_table(spark, f"{root}/table")
+    return unit_results.read_table(spark, f"{root}/table", fold, keys)
 
 
 @query("checkpoint_latest", with_views(["v_latest"], LATEST))
@@ -204,6 +206,29 @@ def expiry(spark, sf):
     return state.expire(jobs(spark, sf), state.latest_results(results(spark, sf)), now())[1].select("job_id", "result_key")
 
 
+@query(
+    "expiry_stored",
+    with_views(["v_jobs", "v_latest"], f"SELECT d.job_id, d.result_key, d.attempts FROM v_latest d JOIN v_jobs j USING (job_id) WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'"),
+)
+def expiry_stored(spark, sf):
+    store = job_store.JobStore(spark, session.scratch_dir(spark, "jobs"))
+    store.add(jobs(spark, sf), state.latest_results(results(spark, sf)))
+    store.sweep(datetime.fromisoformat(NOW))
+    return store.read(now())[1].select("job_id", "result_key", "attempts")
+
+
+@query(
+    "retention_stored",
+    with_views(["v_jobs"], f"SELECT job_id, status FROM v_jobs WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 240 HOUR"),
+)
+def retention_stored(spark, sf):
+    before = datetime.fromisoformat(NOW) - timedelta(hours=240)
+    store = job_store.JobStore(spark, session.scratch_dir(spark, "jobs"), clock="created_at")
+    store.add(jobs(spark, sf), state.latest_results(results(spark, sf)))
+    store.sweep(before)
+    return store.read(F.lit(before).cast("timestamp_ntz"))[0].select("job_id", "status")
+
+
 @query("delete_jobs", with_views(["v_jobs", "v_latest"], "SELECT d.job_id, d.result_key FROM v_latest d JOIN v_jobs j USING (job_id) WHERE status <> 'erro'"))
 def delete_jobs(spark, sf):
     j = jobs(spark, sf)
@@ -248,7 +273,9 @@ def job_search(spark, sf):
 
 @query("job_page", with_views(["v_jobs"], "SELECT job_id, status FROM v_jobs ORDER BY updated_at DESC, job_id LIMIT 10 OFFSET 10"))
 def job_page(spark, sf):
-    return state.page_of(jobs(spark, sf), 2).select("job_id", "status")
+    listing = job_listing.JobListing(spark, session.scratch_dir(spark, "listing"))
+    listing.write(jobs(spark, sf))
+    return listing.page(2).select("job_id", "status")
 
 
 @query("job_counts", with_views(["v_jobs"], "SELECT count(*) AS total, count(*) FILTER (status = 'concluido') AS completed, count(*) FILTER (status = 'processando') AS running, count(*) FILTER (status = 'erro') AS failed FROM v_jobs"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from .runs import RunTable
 
-FORMATS = ("csv", "json", "parquet")
+FORMATS = ("xlsx", "csv", "json", "parquet")
 
 
 def file_name(job_id: str, document_type: str, fmt: str) -> str:
@@ -25,12 +24,12 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
-def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> None:
-    """Write an export table; spreadsheets are written as CSV with the same cells."""
-    chosen = (fmt or "csv").lower()
+def export(df: DataFrame, path: str, fmt: str = "xlsx", mode: str = "error") -> None:
+    """Write an export table; a spreadsheet (``xlsx``, also where no format is given) is written as CSV with the same cells."""
+    chosen = (fmt or "xlsx").lower()
     if chosen not in FORMATS:
         raise ValueError(f"unknown export format: {fmt}")
-    if chosen == "csv":
+    if chosen in ("xlsx", "csv"):
         write_csv(df, path, mode)
     elif chosen == "json":
         write_json(df, path, mode)
@@ -38,29 +37,31 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> N
         df.write.mode(mode).parquet(path)
 
 
+_RESULT = ["job_id", "result_kind"]
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of the last replacement of each job and kind."""
+    last = rows.groupBy(*_RESULT).agg(F.max("generation").alias("_last"))
+    return rows.join(last, _RESULT).where(F.col("generation") == F.col("_last")).drop("_last")
+
+
+def result_store(spark: SparkSession, path: str, buckets: int = 64) -> RunTable:
+    return RunTable(spark, path, _newest, _RESULT, buckets)
+
+
 def write_results(results: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace the stored results of the given jobs and kinds; all other jobs keep theirs.
 
-    Results lie in folders per kind and job bucket. A folder that holds a replaced job is rewritten as a whole: what its other
-    jobs have is read back and written with the new rows. A job that is stored already stays in its folder,
-    so ``buckets`` may differ from call to call.
+    Only the given rows are written. They count from the moment that their manifest appears; a writer that is killed before
+    leaves the old results readable. Rows without a job or kind are an error.
     """
-    spark, unit = results.sparkSession, ["job_id", "result_kind"]
-    placed = results.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        stored = None
-    if stored is not None:
-        folder, jobs = ["result_kind", "job_bucket"], placed.select(*unit).distinct()
-        known = stored.join(jobs, unit, "left_semi").select(*unit, F.col("job_bucket").alias("_bucket")).distinct()
-        placed = placed.join(known, unit, "left").withColumn("job_bucket", F.coalesce("_bucket", "job_bucket")).drop("_bucket")
-        kept = stored.join(placed.select(*folder).distinct(), folder, "left_semi").join(jobs, unit, "left_anti")
-        placed = placed.unionByName(kept, allowMissingColumns=True)
-    # read back before the folders that it comes from are replaced
-    whole = scratch_dir(spark, "results")
-    placed.repartition("result_kind", "job_bucket").write.parquet(whole)
-    ready = spark.read.schema(placed.schema).parquet(whole)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("result_kind", "job_bucket").parquet(path)
+    store = result_store(results.sparkSession, path, buckets)
+    for c in _RESULT:
+        results = results.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"result without {c}")).cast("string")))
+    store.add(results.withColumn("generation", F.lit(store.manifest().version + 1).cast("bigint")))
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The stored results of all jobs."""
+    return result_store(spark, path).read().drop("generation")

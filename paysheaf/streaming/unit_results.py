@@ -1,25 +1,19 @@
 """Unit results and job progress as streams into stored tables, and pending units.
 
-A stream keeps no keyed state: each micro-batch is folded into the table that it feeds, bucket by
-bucket, with the same fold as the batch operators. What grows is the table, not the stream's memory, and a
+A stream keeps no keyed state: each micro-batch is added to the table that it feeds, which folds the rows of a key
+with the same fold as the batch operators. What grows is the table, not the stream's memory, and a
 stream that is started again on its checkpoint goes on with the files that it has not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import text
 from ..operators.state import UNIT
-
-Fold = Callable[[DataFrame], DataFrame]
-JOB = ["job_id"]
-_PLACE = ["version", "bucket"]
+from ..sources.runs import Fold, RunTable
 
 
 def unit_rows(stream: DataFrame) -> DataFrame:
@@ -62,54 +56,25 @@ def progress_table(folded: DataFrame) -> DataFrame:
     return folded.select("job_id", *parts, logs.alias("logs"), F.size("logs").cast("bigint").alias("log_lines"))
 
 
-def _stored(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
-def _current(stored: DataFrame, before: int | None = None) -> DataFrame:
-    """Rows of the newest version of each bucket."""
-    rows = stored if before is None else stored.where(F.col("version") < before)
-    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(newest, _PLACE, "left_semi")
-
-
-def run_to_table(stream: DataFrame, table: str, checkpoint: str, fold: Fold, keys: list[str], buckets: int = 16) -> None:
+def run_to_table(stream: DataFrame, table: str, checkpoint: str, fold: Fold, keys: list[str], buckets: int = 64) -> None:
     """Fold everything available of ``stream`` into ``table`` and stop; both paths lie in a folder that all machines share.
 
-    A micro-batch rewrites the buckets that it touches as a new version beside the old one. A batch that is run
-    again after a failure folds the versions before its own and overwrites its own, so every row counts once.
+    A micro-batch adds its own rows as one run (see ``sources.runs``). A batch that is run again after a failure replaces what it left
+    unfinished, or adds nothing if it counts already, so every row counts once. A table belongs to one stream.
     """
-    spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = fold(batch).withColumn("bucket", bucket)
-        stored = _stored(spark, table)
-        if stored is not None:
-            touched = fresh.select("bucket").distinct()
-            kept = _current(stored, batch_id).join(touched, "bucket", "left_semi").select(*fresh.columns)
-            fresh = fold(kept.drop("bucket").unionByName(fresh.drop("bucket"))).withColumn("bucket", bucket)
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={batch_id}")
-
-    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    stored = RunTable(stream.sparkSession, table, fold, keys, buckets)
+    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(stored.add).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame:
+def read_table(spark: SparkSession, table: str, fold: Fold, keys: list[str]) -> DataFrame:
     """Current row of each key."""
-    return _current(spark.read.parquet(table)).drop(*_PLACE)
+    return RunTable(spark, table, fold, keys).read()
 
 
-def compact(spark: SparkSession, table: str, new_table: str) -> None:
-    """Write the newest version of every bucket to a new table that the same stream can go on with."""
-    newest = _current(spark.read.parquet(table))
-    version = newest.agg(F.max("version")).first()[0]
-    newest.drop("version").repartition("bucket").write.partitionBy("bucket").parquet(f"{new_table}/version={version}")
+def compact(spark: SparkSession, table: str, fold: Fold, keys: list[str]) -> None:
+    """Fold all runs of a table into one, between two runs of its stream."""
+    RunTable(spark, table, fold, keys).compact()
 
 
 def pending(units: DataFrame, done: DataFrame) -> DataFrame:

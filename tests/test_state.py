@@ -1,9 +1,11 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from paysheaf.operators import state
 from paysheaf.plans import registry
-from paysheaf.sources import readers, sinks
+from paysheaf.sources import job_store, readers, runs, sinks
 from paysheaf.streaming import unit_results
 
 RES = "job_id string, result_key string, page_number long, result_kind string, value string, executed int, completed_at timestamp, seq long"
@@ -30,7 +32,7 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
     def run(to=table):
         live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
         unit_results.run_to_table(unit_results.unit_rows(live), to, checkpoint, unit_results.fold_units, state.UNIT, buckets=3)
-        return sorted(map(tuple, unit_results.read_table(spark, to).select(*cols).collect()))
+        return sorted(map(tuple, unit_results.read_table(spark, to, unit_results.fold_units, state.UNIT).select(*cols).collect()))
 
     def batch(rows):
         return sorted(map(tuple, state.latest_results(rows).select(*cols).collect()))
@@ -38,14 +40,15 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
     for i in range(2):
         df.where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(source)
     assert run() == batch(df.where(F.col("seq") % 3 < 2))
-    versions = {r["version"] for r in spark.read.parquet(table).select("version").distinct().collect()}
+    stored = runs.RunTable(spark, table, unit_results.fold_units, state.UNIT)
+    before = stored.manifest()
     df.where(F.col("seq") % 3 == 2).coalesce(1).write.mode("append").parquet(source)
-    # the second run reads only the new file: one more version
+    # the second run reads only the new file: one more run
     assert run() == batch(df) and run() == batch(df)
-    assert {r["version"] for r in spark.read.parquet(table).select("version").distinct().collect()} <= versions | {2}
-    unit_results.compact(spark, table, str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 6
-    assert run(str(tmp_path / "compact")) == batch(df)
+    assert set(before.runs) < set(stored.manifest().runs) and len(stored.manifest().runs) == len(before.runs) + 1
+    assert stored.manifest().buckets == 3
+    unit_results.compact(spark, table, unit_results.fold_units, state.UNIT)
+    assert len(stored.manifest().runs) == 1 and run() == batch(df)
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
@@ -54,7 +57,7 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     for checkpoint in ("a", "b"):  # a lost checkpoint runs batch 0 again
         live = unit_results.unit_rows(spark.readStream.schema(df.schema).parquet(source))
         unit_results.run_to_table(live, table, str(tmp_path / checkpoint), unit_results.fold_units, state.UNIT)
-    assert sorted(r["attempts"] for r in unit_results.read_table(spark, table).collect()) == [1, 1, 1, 1, 1, 2]
+    assert sorted(r["attempts"] for r in unit_results.read_table(spark, table, unit_results.fold_units, state.UNIT).collect()) == [1, 1, 1, 1, 1, 2]
 
 
 def test_progress_stream_keeps_filled_messages(spark, tmp_path):
@@ -65,7 +68,7 @@ def test_progress_stream_keeps_filled_messages(spark, tmp_path):
         df.where(F.col("seq") == i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     unit_results.run_to_table(unit_results.progress_rows(live), str(tmp_path / "t"), str(tmp_path / "c"), unit_results.fold_progress, ["job_id"])
-    got = {r["job_id"]: tuple(r)[1:] for r in unit_results.progress_table(unit_results.read_table(spark, str(tmp_path / "t"))).collect()}
+    got = {r["job_id"]: tuple(r)[1:] for r in unit_results.progress_table(unit_results.read_table(spark, str(tmp_path / "t"), unit_results.fold_progress, ["job_id"])).collect()}
     assert got == {"j": (2, 9, 50, "um", ["a", "b"], 2), "k": (None, None, None, "x", [], 0)}
     want = {r["job_id"]: (r["current"], r["total"], r["percentage"], r["message"], r["log_lines"]) for r in state.job_progress(df).collect()}
     assert want == {k: (*v[:4], v[5]) for k, v in got.items()}
@@ -103,7 +106,7 @@ def test_replaced_partitions_only(spark, tmp_path):
     base = results(spark).drop("executed", "seq")
     sinks.write_results(base.withColumn("job_id", F.lit("a")), path)
     sinks.write_results(base.withColumn("job_id", F.lit("b")).withColumn("result_kind", F.lit("final")), path)
-    assert {r.job_id for r in spark.read.parquet(path).select("job_id").distinct().collect()} == {"a", "b"}
+    assert {r.job_id for r in sinks.read_results(spark, path).select("job_id").distinct().collect()} == {"a", "b"}
 
 
 def test_audited_months(spark, tmp_path):
@@ -122,3 +125,96 @@ def test_audited_months(spark, tmp_path):
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert len(registry.QUERIES) > 90
+
+
+def run_files(path):
+    return {str(f): f.stat().st_size for f in path.glob("run-*/**/*.parquet")}
+
+
+def test_small_batch_writes_little_with_many_tasks(spark, tmp_path):
+    """1 % of the keys write about 1 % of the bytes; a large batch is written by more than 16 tasks."""
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("job"), F.col("id") % 5000).alias("job_id"), F.concat(F.lit("page:"), "id").alias("result_key"), (F.col("id") % 7).alias("page_number"),
+        F.lit("checkpoint").alias("result_kind"), F.sha2(F.col("id").cast("string"), 256).alias("value"), F.lit(1).alias("executed"),
+        F.timestamp_seconds(F.col("id")).alias("completed_at"), F.col("id").alias("seq"),
+    )
+    table = runs.RunTable(spark, str(tmp_path / "t"), unit_results.fold_units, state.UNIT)
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        table.add(unit_results.unit_rows(rows), 0)
+        first = run_files(tmp_path / "t")
+        table.add(unit_results.unit_rows(rows.where("seq % 100 = 3").withColumn("value", F.lit("novo"))), 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    fresh = {f: n for f, n in run_files(tmp_path / "t").items() if f not in first}
+    assert len(first) > 16 and sum(fresh.values()) < 0.015 * sum(first.values())
+    now = table.read()
+    assert now.count() == 200_000 and now.where("value = 'novo' and attempts = 2").count() == 2000
+
+
+def test_levels_fold_and_killed_writers_leave_the_old_state(spark, tmp_path, monkeypatch):
+    df = unit_results.unit_rows(results(spark))
+    table = runs.RunTable(spark, str(tmp_path / "t"), unit_results.fold_units, state.UNIT, fanout=3)
+    for batch in range(7):
+        table.add(df, batch)
+    # three of the first level made one of the next, twice; one batch is on its own
+    assert sorted(r.level for r in table.manifest().runs) == [0, 1, 1]
+    old = sorted(map(str, table.read().collect()))
+    assert sorted(r["attempts"] for r in table.read().collect()) == [7, 7, 7, 7, 7, 14]
+
+    def killed(self, new):
+        (tmp_path / "t" / "manifest" / f"version={new.version + 1}" / "_temporary").mkdir(parents=True)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(runs.RunTable, "_commit", killed)
+        with pytest.raises(RuntimeError):
+            table.add(df, 7)
+    assert sorted(map(str, table.read().collect())) == old
+    table.add(df, 7)
+    table.add(df, 7)
+    assert sorted(r["attempts"] for r in table.read().collect()) == [8, 8, 8, 8, 8, 16]
+    table.compact()
+    table.vacuum()
+    assert len(list((tmp_path / "t").glob("run-*"))) == 1 and len(list((tmp_path / "t" / "manifest").iterdir())) == 1
+    assert sorted(r["attempts"] for r in table.read().collect()) == [8, 8, 8, 8, 8, 16]
+
+
+def test_killed_replacement_keeps_the_results(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    base = results(spark).drop("executed", "seq")
+    sinks.write_results(base, path)
+    old = sorted(map(str, sinks.read_results(spark, path).collect()))
+    with monkeypatch.context() as broken:
+        broken.setattr(runs.RunTable, "_commit", lambda self, new: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_results(base.limit(1).withColumn("value", F.lit("x")), path)
+    assert sorted(map(str, sinks.read_results(spark, path).collect())) == old
+    sinks.write_results(base.limit(1).withColumn("value", F.lit("x")), path)
+    assert [r["value"] for r in sinks.read_results(spark, path).collect()] == ["x"]
+
+
+def test_sweep_touches_only_expired_days(spark, tmp_path):
+    jobs = spark.sql("select concat('j', id) job_id, timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(id as int)) expires_at from range(6)")
+    jobs = jobs.unionByName(spark.sql("select 'stays' job_id, cast(null as timestamp) expires_at"))
+    rows = jobs.crossJoin(spark.range(3)).select("job_id", F.concat(F.lit("page:"), "id").alias("result_key"), F.lit("v").alias("value"))
+    store = job_store.JobStore(spark, str(tmp_path / "s"))
+    store.add(jobs, rows)
+    store.add(jobs.where("job_id = 'j5'"), rows.where("job_id = 'j5'").withColumn("value", F.lit("novo")))
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "s").glob("**/*.parquet")}
+    now = datetime(2024, 1, 3, 13)
+    gone = store.sweep(now)
+    assert {g.split("part=")[1] for g in gone} == {"2024-01-01", "2024-01-02"}
+    assert files == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "s").glob("**/*.parquet")}
+    left, dependants = store.read(F.lit(now))
+    # of the running day the hour decides
+    assert {r["job_id"] for r in left.collect()} == {"j3", "j4", "j5", "stays"}
+    got = sorted((r["job_id"], r["value"]) for r in dependants.collect())
+    assert got == sorted([(j, "v") for j in ("j3", "j4", "stays")] * 3 + [("j5", "novo")] * 3)
+    store.jobs_table.vacuum()
+    store.rows_table.vacuum()
+    after = {str(f) for f in (tmp_path / "s").glob("**/*.parquet")}
+    assert {f for f in files if f not in after} == {f for f in files if "part=2024-01-01" in f or "part=2024-01-02" in f}
+    assert sorted((r["job_id"], r["value"]) for r in store.read(F.lit(now))[1].collect()) == got
