@@ -402,9 +402,9 @@ view(
 )
 
 
-@query("accuracy_items", with_views(["v_matched"], "SELECT doc_id, page_ord, item_ord, found_ord, match_type, source, expected, extracted, is_value_match FROM v_matched"))
+@query("accuracy_items", with_views(["v_matched"], "SELECT doc_id, page_ord, item_ord, found_ord, match_type, source, expected, extracted, is_value_match, round(expected - extracted, 2) AS value_diff FROM v_matched"))
 def accuracy_items(spark, sf):
-    return benchmark.match_items(*truth_and_found(spark, sf), PAGE).drop("value_diff")
+    return benchmark.match_items(*truth_and_found(spark, sf), PAGE)
 
 
 @query(

@@ -1,7 +1,18 @@
 """Result stores, audited text files, and operators that pass all columns through."""
 
-from paysheaf.operators import coverage, edits, reconcile, unify
-from paysheaf.sources import readers, sinks
+import json
+import os
+import pathlib
+import random
+import shutil
+import subprocess
+import sys
+
+from pyspark.sql import functions as F
+
+from paysheaf.operators import catalog, coverage, edits, reconcile, unify
+from paysheaf.plans import reuse
+from paysheaf.sources import job_listing, json_text, readers, sinks
 
 
 def test_replacing_one_job_keeps_all_others(spark, tmp_path):
@@ -13,9 +24,9 @@ def test_replacing_one_job_keeps_all_others(spark, tmp_path):
     # another bucket count does not move what is stored
     sinks.write_results(spark.createDataFrame(new, schema), path, buckets=8)
     want = {r for r in rows if not (r[0] == "j7" and r[2] == "final")} | set(new)
-    assert {tuple(r) for r in spark.read.parquet(path).select("job_id", "result_key", "result_kind", "value", "seq").collect()} == want
+    assert {tuple(r) for r in sinks.read_results(spark, path).select("job_id", "result_key", "result_kind", "value", "seq").collect()} == want
     sinks.write_results(spark.createDataFrame(new[1:], schema), path, buckets=8)
-    assert spark.read.parquet(path).count() == len(want)
+    assert sinks.read_results(spark, path).count() == len(want)
 
 
 def test_audited_objects_on_any_lines(spark, tmp_path):
@@ -82,3 +93,135 @@ def test_headers_come_whole_from_the_first_page_that_has_one(spark):
     (head,) = unify.unify_headers(spark.createDataFrame(rows, schema)).collect()
     got = tuple(head[c] for c in ("company", "cnpj", "employee", "cpf", "bank", "agency", "payment_date", "warnings", "review_required"))
     assert got == ("ACME", None, "Ana", None, "B", None, "05/02", ["um"], True)
+
+
+def objects_in(text):
+    """Outermost objects by walking over the text; quotes count everywhere."""
+    out, depth, inside, start, i = [], 0, False, None, 0
+    while i < len(text):
+        c = text[i]
+        if inside:
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                inside = False
+        elif c == '"':
+            inside = True
+        elif c == "{":
+            if depth == 0:
+                start = i
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(text[start : i + 1])
+                start = None
+        i += 1
+    return out + ([text[start:]] if start is not None else [])
+
+
+def test_json_objects_over_many_ranges(spark, tmp_path):
+    """Ranges of a few bytes: objects, strings and escapes lie across them."""
+    rng = random.Random(3)
+    texts = {}
+    for n in range(12):
+        parts = []
+        for _ in range(rng.randrange(1, 40)):
+            word = "".join(rng.choice('ab{}é\\"\n') for _ in range(rng.randrange(12)))
+            nested = {"a": word, "b": [{"c": word[::-1]}] * rng.randrange(3)}
+            parts.append(json.dumps(nested, ensure_ascii=False, indent=rng.choice([None, 1])) + rng.choice(["", "\n", " x } y\n", ", "]))
+        texts[f"t{n}.txt"] = rng.choice(["", "título\n"]) + "".join(parts) + rng.choice(["", '{"aberto": [1, {"x', "fim"])
+    texts["vazio.txt"] = ""
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = json_text.objects(spark, str(tmp_path / "in"))
+        assert json_text._pieces(spark, str(tmp_path / "in")).select("path", "range_start").distinct().count() > 40
+        got = sorted((r["path"].rsplit("/", 1)[1], r["object_ord"], r["raw"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted((name, i + 1, o) for name, text in texts.items() for i, o in enumerate(objects_in(text)))
+
+
+def test_label_dictionary_classifies_new_labels_only(spark, tmp_path):
+    rows = spark.createDataFrame([(i, ["FGTS Empresa", "Salário Base", "zzz", None][i % 4]) for i in range(40)], "n int, label string")
+    words = catalog.LabelDictionary(spark, str(tmp_path / "labels"))
+    got = catalog.with_category(rows, dictionary=words)
+    # no row is moved: the dictionary is sent to them
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    want = {(i, None if c is None else c["category"]) for i, c in (
+        (r["n"], r["c"]) for r in rows.select("n", catalog.classify(F.col("label")).alias("c")).collect())}
+    assert {(r["n"], r["category"]) for r in got.collect()} == want
+    ids = {r["label"]: r["label_id"] for r in words.read().collect()}
+    assert set(ids) == {"FGTS Empresa", "Salário Base", "zzz"}
+    more = rows.unionByName(spark.createDataFrame([(99, "INSS")], "n int, label string"))
+    salted = catalog.with_category(more, dictionary=words, sent_labels=1)
+    assert {(r["n"], r["category"]) for r in salted.where("n < 99").collect()} == want and salted.count() == 41
+    after = {r["label"]: r["label_id"] for r in words.read().collect()}
+    assert after.items() > ids.items() and len(set(after.values())) == 4
+    # the second run added one label, in a run of its own
+    assert spark.read.parquet(str(tmp_path / "labels" / words.table.manifest().runs[-1].folder)).count() == 1
+
+
+def test_hot_label_is_dealt_to_many_tasks(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "INSS").otherwise(F.concat(F.lit("rubrica "), F.col("id") % 50)).alias("label"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = catalog.with_category(rows, sent_labels=1)
+        tasks = found.where("label = 'INSS'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 6667
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_last_page_reads_one_range(spark, tmp_path):
+    jobs = spark.range(100_003).select(F.concat(F.lit("j"), "id").alias("job_id"), F.timestamp_seconds(F.col("id") % 5000).alias("updated_at"))
+    jobs = jobs.unionByName(spark.createDataFrame([("nunca", None)], "job_id string, updated_at timestamp"))
+    listing = job_listing.JobListing(spark, str(tmp_path / "l"), rows_per_range=5000)
+    listing.write(jobs)
+    whole = [r["job_id"] for r in jobs.orderBy(F.desc("updated_at"), "job_id").collect()]
+    n_files = len(listing._jobs().inputFiles())
+    for page in (1, 2, 777, 5001, 10_001, 99_999):
+        got = listing.page(page)
+        first = (min(page, 10_001) - 1) * 10
+        assert [r["job_id"] for r in got.collect()] == whole[first : first + 10]
+    assert n_files >= 20 and "PartitionFilters: [isnotnull(range" in got._jdf.queryExecution().toString()
+    place = 7215
+    head = jobs.where(F.col("job_id") == whole[place]).select(F.col("updated_at").cast("string")).first()[0]
+    assert [r["job_id"] for r in listing.after(head, whole[place]).collect()] == whole[place + 1 : place + 11]
+    assert job_listing.JobListing(spark, str(tmp_path / "e")).write(jobs.limit(0)) is None
+    assert job_listing.JobListing(spark, str(tmp_path / "e")).page(3).collect() == []
+
+
+def test_scopes_keep_what_another_still_uses(spark):
+    frame = lambda: spark.range(100).select((F.col("id") * 3).alias("x"))
+    with reuse.scope() as first:
+        reuse.shared(frame())
+    with reuse.scope() as second:
+        reuse.shared(frame())
+        reuse.shared(frame())
+    first.close()
+    assert frame().storageLevel.useMemory
+    second.close()
+    assert not frame().storageLevel.useMemory
+
+
+def test_entry_without_the_training_data_folder(tmp_path):
+    """With the folder of that subpackage gone, the entry imports and has the other queries."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split()[1:] == ["False", "False"] and int(out.stdout.split()[0]) > 100
