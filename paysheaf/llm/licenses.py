@@ -26,8 +26,8 @@ TEMPLATES = (
 
 #: Share of a template's distinct words that a block must contain.
 CONTAINMENT = 0.85
-BLOCK_WORDS = 64
-BLOCK_STEP = 32
+#: Blocks have this many words at least, and twice those of the longest template: one begins at every half block, so a template lies whole in one.
+LEAST_BLOCK_WORDS = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,6 +69,11 @@ def token_frequencies(worded: DataFrame, templates: tuple[tuple[str, str], ...]
     return dict.fromkeys(tokens, 0) | {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
+def block_words(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> int:
+    """Even number of words of a block."""
+    return max(LEAST_BLOCK_WORDS, 2 * max((len(text.split()) for _, text in templates), default=0))
+
+
 def needed(n_tokens: int, containment: float = CONTAINMENT) -> int:
     return math.ceil(n_tokens * containment - 1e-9)
 
@@ -78,7 +83,7 @@ def template_blocks(
 ) -> DataFrame:
     """``doc_id, block, label, containment``: every block of words that contains enough of a template.
 
-    Blocks are runs of ``BLOCK_WORDS`` words, one from every ``BLOCK_STEP``-th word. Words are ordered by frequency over all texts,
+    Blocks are runs of ``block_words`` words, one from every half of that. Words are ordered by frequency over all texts,
     rarest first. A block with ``o`` words of a template of ``n`` has one of the template's first ``n - o + 1`` words, so only equal words
     of those prefixes are joined; blocks that are too short (length) or whose match stands too late to leave
     ``o`` common words (position) go before the common words are counted.
@@ -96,9 +101,10 @@ def template_blocks(
     rare = F.array(*map(F.lit, sorted({t for p in prefixes for t in p})))
     ranks = F.create_map(*[x for t, i in order.items() for x in (F.lit(t), F.lit(i))])
     near = worded.where(F.arrays_overlap("words", rare))
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_STEP))
+    width = block_words(templates)
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(width // 2))
     blocks = near.select("doc_id", "words", F.explode(starts).alias("block"))
-    blocks = blocks.select("doc_id", "block", F.array_distinct(F.slice("words", F.col("block") + 1, F.lit(BLOCK_WORDS))).alias("words"))
+    blocks = blocks.select("doc_id", "block", F.array_distinct(F.slice("words", F.col("block") + 1, F.lit(width))).alias("words"))
     common = F.array_intersect("words", F.array(*map(F.lit, order)))
     ordered = F.array_sort(F.transform(common, lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("token"))))
     blocks = blocks.where(F.arrays_overlap("words", rare)).select("doc_id", "block", F.size("words").alias("n_block"), ordered.alias("common"))

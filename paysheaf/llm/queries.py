@@ -119,6 +119,7 @@ def _license_sql() -> str:
         + " AND ".join(f"l[i + {j}] = '{w}'" for j, w in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES.items()
     )
+    width = licenses.block_words()
     templates = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in licenses.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -126,7 +127,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
 t(label, words) AS (VALUES {templates}),
-blocks AS (SELECT doc_id, list_distinct(l[b + 1:b + {licenses.BLOCK_WORDS}]) AS w FROM (SELECT doc_id, l, unnest(range(0, len(l), {licenses.BLOCK_STEP})) AS b FROM d)),
+blocks AS (SELECT doc_id, list_distinct(l[b + 1:b + {width}]) AS w FROM (SELECT doc_id, l, unnest(range(0, len(l), {width // 2})) AS b FROM d)),
 pairs AS (SELECT doc_id, label, len(list_intersect(words, w)) / len(words) AS c FROM blocks, t),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM pairs WHERE c >= {licenses.CONTAINMENT} - 1e-9 GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,

@@ -1,6 +1,7 @@
 """Mixtures and the pipeline against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from paysheaf.llm import mixing, quality, simhash
+from paysheaf.llm import mixing, quality
 from paysheaf.llm.shared import stored
 
 
@@ -65,6 +66,12 @@ def test_rates_are_tilted_exponentially(spark):
         assert total == pytest.approx(own[0]["target"], rel=1e-6)
 
 
+def shingles(text):
+    """Five-word shingles of the near-duplicate stage; a shorter text is one, a text without words has none."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,10 +83,11 @@ def test_pipeline_stages_against_brute_force(spark):
     judged = {r["doc_id"]: r["kept"] for r in quality.judged(docs.withColumnRenamed("source", "company")).collect()}
     kept = {r["doc_id"]: r for r in steps["quality_rules"]}
     assert {i for i, k in judged.items() if k} == set(kept) and all(kept[i] == source[i] for i in kept)
-    prints = {i: simhash.fingerprint(r["text"] or "") for i, r in kept.items()}
-    root = {i: i for i in prints}
-    for _ in range(len(prints)):
-        new = {i: min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
+    sets = {i: shingles(r["text"] or "") for i, r in kept.items()}
+    root = {i: i for i in sets}
+    alike = {i: [j for j in sets if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])] for i in sets}
+    while True:
+        new = {i: min(root[j] for j in [i, *alike[i]]) for i in sets}
         if new == root:
             break
         root = new

@@ -146,13 +146,14 @@ def test_licence_blocks_equal_all_comparisons(spark):
             body[5:5] = notice
         texts[i] = ", ".join(body).upper()
     texts |= {200: None, 201: "cc by cc by", 202: "the mit license.", 203: "permit license é mit\u0085license"}
+    width = licenses.block_words()
     got = {r["doc_id"]: r for r in licenses.licenses(frame(spark, [(i, t, "c") for i, t in texts.items()])).collect()}
     for i, t in texts.items():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower() if t is None or t.isascii() else "".join(c.lower() if c.isascii() else c for c in t))
         places = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         best = {}
-        for k in range(0, len(w), licenses.BLOCK_STEP):
-            block = set(w[k : k + licenses.BLOCK_WORDS])
+        for k in range(0, len(w), width // 2):
+            block = set(w[k : k + width])
             for label, text in licenses.TEMPLATES:
                 share = len(block & set(text.split())) / len(set(text.split()))
                 if share >= licenses.CONTAINMENT:
@@ -253,3 +254,12 @@ def test_toxicity_on_held_out_texts(spark):
         assert np.mean([got[m[0]][column] == bool(m[at]) for m in marks[800:]]) > 0.95
     chain = toxicity.train(frame(spark, rows), labels, max_labelled=500)
     assert [len(c.earlier) for c in chain] == [0, 1]
+
+
+def test_long_templates_are_found_wherever_they_stand(spark):
+    """A template longer than the usual block, at places around the edges of blocks."""
+    long = " ".join(f"clausula{i}" for i in range(90))
+    templates = (("longa", long), ("mit", "released under the mit license"))
+    rows = [(i, " ".join(["antes"] * i) + " " + long + " depois" * 20, "c") for i in range(0, 200, 13)] + [(900, " ".join(long.split()[:70]), "c")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.licenses(frame(spark, rows), templates).collect()}
+    assert got.pop(900) == ([], 0.0) and set(map(str, got.values())) == {"(['longa'], 1.0)"}
