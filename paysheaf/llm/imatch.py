@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
@@ -126,29 +127,43 @@ def fingerprints(document_text: DataFrame, terms: np.ndarray | None = None) -> D
 ROWS_PER_RUN = 4096
 
 
+#: Up to this many runs (16 MB of numbers) their bounds are sent to every task; beyond, the texts are shuffled to them once more.
+SENT_RUNS = 1_000_000
+
+
 def in_runs(document_text: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """``run, doc_id, text, guest``: documents by descending ``doc_id`` in runs; each run ends with the first document of the next, as a guest.
 
-    Runs are ranges of ``doc_id``; after the last run comes the first. One number per run reaches the driver.
+    Runs are ranges of ``doc_id``; after the last run comes the first. Bounds are found in two steps, zones of ``doc_id`` and runs in each zone: what the
+    driver sees and the plan holds is one number per zone, the square root of the number of runs. The bounds of runs stay a table.
     """
     ids = document_text.select("doc_id")
     n_runs = max(1, ids.count() // rows_per_run)
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / n_runs for i in range(1, n_runs)], 0.2 / n_runs))) if n_runs > 1 else []
-    cuts = [int(c) for c in cuts]
-    edges = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # runs are numbered from the largest doc_id; rows of one doc_id share a run
-    run = F.lit(len(cuts)) - F.size(F.filter(edges, lambda c: c < F.col("doc_id")))
-    docs = document_text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("run"))
-    heads = sorted((r["run"], r["top"]) for r in docs.select("run", "doc_id").groupBy("run").agg(F.max("doc_id").alias("top")).collect())
-    before = {top: heads[i - 1][0] for i, (_, top) in enumerate(heads)}
-    if not before:
-        return docs.withColumn("guest", F.lit(False))
-    to = F.create_map(*[x for top, r in before.items() for x in (F.lit(top).cast("bigint"), F.lit(r))])
+    n_zones = math.ceil(math.sqrt(n_runs))
+    shares = [i / n_zones for i in range(1, n_zones)]
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))
+    cuts = ids.agg(F.percentile_approx("doc_id", shares).alias("c")).first()["c"] if shares else []
+    zone = below(F.array(*[F.lit(c).cast("bigint") for c in cuts])) if cuts else F.lit(0)
+    sent = F.broadcast if n_runs <= SENT_RUNS else lambda d: d
+    docs = document_text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), zone.alias("zone"))
+    inner = F.lit(0)
+    if shares:
+        bounds = docs.groupBy("zone").agg(F.percentile_approx("doc_id", shares).alias("cuts"))
+        docs = docs.join(sent(stored(bounds, "bounds")), "zone")
+        inner = below(F.col("cuts"))
+    # numbered from the largest doc_id; rows of one doc_id share a run
+    docs = docs.select("doc_id", "text", (-(F.col("zone") * (n_zones + 1) + inner)).alias("run"))
+    heads = stored(docs.groupBy("run").agg(F.max("doc_id").alias("top")), "heads")
+    # one small row per run is put in order
+    before = F.lag("run").over(Window.orderBy("run"))
+    last = heads.agg(F.max("run")).first()[0]
+    visits = heads.select("top", F.coalesce(before, F.lit(last)).alias("to"))
     own = F.struct(F.col("run").alias("run"), F.lit(False).alias("guest"))
-    visit = F.struct(to[F.col("doc_id")].alias("run"), F.lit(True).alias("guest"))
-    places = F.when(F.map_contains_key(to, F.col("doc_id")), F.array(own, visit)).otherwise(F.array(own))
-    placed = docs.select("doc_id", "text", F.explode(places).alias("p")).select("p.run", "doc_id", "text", "p.guest")
-    return placed.repartitionByRange(len(before), "run").sortWithinPartitions("run", "guest", F.desc("doc_id"), F.xxhash64("text"))
+    visit = F.struct(F.col("to").alias("run"), F.lit(True).alias("guest"))
+    docs = docs.join(sent(visits), F.col("doc_id") == F.col("top"), "left")
+    placed = docs.select("doc_id", "text", F.explode(F.when(F.col("to").isNotNull(), F.array(own, visit)).otherwise(F.array(own))).alias("p"))
+    placed = placed.select("p.run", "doc_id", "text", "p.guest")
+    return placed.repartitionByRange(n_runs, "run").sortWithinPartitions("run", "guest", F.desc("doc_id"), F.xxhash64("text"))
 
 
 def compared(document_text: DataFrame, terms: np.ndarray | None = None, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:

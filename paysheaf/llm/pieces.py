@@ -125,6 +125,7 @@ class PieceModel:
                 self.symbol_of_point[ord(c)] = i
         pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items()) or [(-1, 0, 0)]
         self.pair_keys, self.pair_ranks, self.pair_ids = np.array(pairs, np.int64).T.copy()
+        self.piece_digits = np.array([len(str(i)) for i in range(self.n_pieces)], np.int64)
         self.piece_bytes = np.array([len(p.piece.encode()) for p in spec.pieces], "<i4")
         # no piece joins a space to what stands before it: words with the spaces before them are merged apart
         apart = SPACE in names and not any(re.search(f"[^{SPACE}]{SPACE}", name) for name in names)
@@ -192,21 +193,19 @@ class PieceModel:
             del places[len(out) :]
         return out.decode(), np.array([*places, end], np.int64)
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word: the best pair first, then the leftmost. Characters of no piece are -1 - code point.
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words in a row, and how many each has: the best pair first, then the leftmost. Characters of no piece are -1 - code point.
 
         All words take one merge per round; long ones take theirs from a heap.
         """
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        which = []
+        which, long = [], []
         for i, word in enumerate(words):
-            if len(word) > LONG_WORD:
-                out[i] = np.array(self._merge_long(self._characters(word).tolist()), np.int64)
-            else:
-                which.append(i)
+            (long if len(word) > LONG_WORD else which).append(i)
+        done_symbols = [np.array(self._merge_long(self._characters(words[i]).tolist()), np.int64) for i in long]
+        done_words, done_sizes = [np.array(long, np.int64)], [np.array([len(s) for s in done_symbols], np.int64)]
+        sizes = np.array([len(words[i]) for i in which], np.int64)
+        symbols = self._characters("".join([words[i] for i in which]))
         which = np.array(which, np.int64)
-        sizes = np.array([len(words[i]) for i in which.tolist()], np.int64)
-        symbols = self._characters("".join([words[i] for i in which.tolist()]))
         starts = np.cumsum(sizes) - sizes
         ranks, merged = self._pairs(symbols[:-1], symbols[1:])
         ranks, merged = np.append(ranks, NO_PAIR), np.append(merged, 0)
@@ -214,12 +213,13 @@ class PieceModel:
         while len(which):
             best = np.minimum.reduceat(ranks << 32 | np.arange(len(symbols)), starts)
             done = best >> 32 == NO_PAIR
-            if done.any():
-                for i, start, size in zip(which[done].tolist(), starts[done].tolist(), sizes[done].tolist()):
-                    out[i] = symbols[start : start + size].copy()
+            inside = np.repeat(done, sizes)
+            done_symbols.append(symbols[inside])
+            done_words.append(which[done])
+            done_sizes.append(sizes[done])
             at = best[~done] & 0xFFFFFFFF
             symbols[at] = merged[at]
-            keep = np.repeat(~done, sizes)
+            keep = ~inside
             keep[at + 1] = False
             at = np.cumsum(keep)[at] - 1
             symbols, ranks, merged = symbols[keep], ranks[keep], merged[keep]
@@ -235,7 +235,11 @@ class PieceModel:
             ranks[at[last[at]]] = NO_PAIR
             for i in (right, left):
                 ranks[i], merged[i] = self._pairs(symbols[i], symbols[i + 1])
-        return out
+        flat, sizes = np.concatenate(done_symbols), np.concatenate(done_sizes)
+        # back into the order of the words
+        order = np.argsort(np.concatenate(done_words))
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
 
     def _characters(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -282,21 +286,25 @@ class PieceModel:
         """
         if not words:
             return []
-        merged = self.merge(words)
-        flat = np.concatenate(merged)
-        ends = np.cumsum([len(m) for m in merged])
-        starts = np.append(0, ends[:-1])
+        flat, sizes = self.merge(words)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         plain = (np.minimum.reduceat(flat, starts) >= 0) & (np.maximum.reduceat(flat, starts) < self.n_pieces)
-        printed = list(map(str, flat.tolist()))
-        ids, sizes = flat.astype("<i4").tobytes(), self.piece_bytes[np.clip(flat, 0, self.n_pieces - 1)].tobytes()
-        out = []
-        for word, symbols, start, end, usual in zip(words, merged, starts.tolist(), ends.tolist(), plain.tolist()):
-            decoded = word.replace(SPACE, " ")
-            if usual:
-                out.append((",".join(printed[start:end]), ids[4 * start : 4 * end], sizes[4 * start : 4 * end], decoded))
-            else:
-                found, covers, decoded = self._with_unknown(symbols.tolist(), decoded)
-                out.append((",".join(map(str, found)), np.array(found, "<i4").tobytes(), np.array(covers, "<i4").tobytes(), decoded))
+        # one string of all numbers and one of all words, cut at the words
+        known = np.clip(flat, 0, self.n_pieces - 1)
+        printed = ",".join(map(str, known.tolist()))
+        places = np.concatenate([[0], np.cumsum(self.piece_digits[known] + 1)])
+        first, last = places[starts].tolist(), (places[ends] - 1).tolist()
+        ids, covers = known.astype("<i4").tobytes(), self.piece_bytes[known].tobytes()
+        decoded = "".join(words).replace(SPACE, " ")
+        letters = np.cumsum([len(w) for w in words]).tolist()
+        out, begin = [], 0
+        for a, b, i, j, end in zip(first, last, (4 * starts).tolist(), (4 * ends).tolist(), letters):
+            out.append((printed[a:b], ids[i:j], covers[i:j], decoded[begin:end]))
+            begin = end
+        for k in np.flatnonzero(~plain).tolist():
+            found, lengths, surface = self._with_unknown(flat[starts[k] : ends[k]].tolist(), out[k][3])
+            out[k] = ",".join(map(str, found)), np.array(found, "<i4").tobytes(), np.array(lengths, "<i4").tobytes(), surface
         return out
 
     def _with_unknown(self, symbols: list[int], decoded: str) -> tuple[list[int], list[int], str]:
@@ -355,12 +363,12 @@ class PieceCoder:
         new = list(set().union(*split).difference(self.known))
         self.known.update(zip(new, self.model.pieces(new)))
         for (_, places), words in zip(normalised, split):
-            parts = [self.known[word] for word in words]
-            ends = np.cumsum(np.frombuffer(b"".join([p[2] for p in parts]), "<i4"), dtype=np.int64)
+            printed, packed, covers, surface = zip(*map(self.known.__getitem__, words)) if words else ((),) * 4
+            ends = np.cumsum(np.frombuffer(b"".join(covers), "<i4"), dtype=np.int64)
             edges = places[np.concatenate([[0], ends])] if len(ends) else np.zeros(1, np.int64)
-            ids = b"".join([p[1] for p in parts])
-            decoded = "".join([p[3] for p in parts])[self.model.leading_spaces(ids) :]
-            yield Encoded(ids, ",".join([p[0] for p in parts]), edges[:-1], edges[1:], decoded)
+            ids = b"".join(packed)
+            decoded = "".join(surface)[self.model.leading_spaces(ids) :]
+            yield Encoded(ids, ",".join(printed), edges[:-1], edges[1:], decoded)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

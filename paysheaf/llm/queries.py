@@ -191,7 +191,27 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(rows.select(F.col("vec_id").alias("row_id"), vector.alias("vector"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
 
 
-@query("op13_spelling")
+# CRC-32 byte by byte, from the reflected polynomial
+_OP13_SQL = f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{spelling.RUN[:-1]}{{7,}}')) AS r FROM documents),
+own AS (SELECT doc_id, r, count(*) AS m, hex(concat_ws(':', doc_id, r)) AS x FROM runs GROUP BY doc_id, r),
+h AS (SELECT r, m, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t.t[xor(c % 256, b) + 1]))) AS h FROM own, t),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, m FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.s = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n, coalesce(n_near, 0) AS n_near FROM w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS place, 0 AS step FROM formed UNION ALL SELECT p.word, f.form, step + 1 FROM path p JOIN formed f ON f.word = p.place WHERE f.form IS NOT NULL)
+SELECT word, n, form, root, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN (SELECT word, arg_max(place, step) AS root FROM path GROUP BY word) USING (word)
+"""
+
+
+@query("op13_spelling", _OP13_SQL)
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.runs(document_text(spark, sf_dir), spelling.LEAST_CHARS)
     # misprints by a fixed rule, so that there is something to find

@@ -53,10 +53,9 @@ OPERATORS = {
     "near_first": near.first_of_groups,
     "toxicity": lambda d: toxicity.judged(d, labels(d)),
     "language_model": language_model.scored,
-    "language_model_joins": lambda d: language_model.scored(d, by_joins=True),
 }
 # rows that leave by each operator's own rule
-ALL = {"licenses", "quality", "quality_carry", "secrets", "cleaned", "mixture", "imatch_prints", "simhash", "bpe", "pieces", "piece_digests", "toxicity", "language_model", "language_model_joins"}
+ALL = {"licenses", "quality", "quality_carry", "secrets", "cleaned", "mixture", "imatch_prints", "simhash", "bpe", "pieces", "piece_digests", "toxicity", "language_model"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)

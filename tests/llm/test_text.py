@@ -206,35 +206,50 @@ def test_language_model(spark):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     counts = Counter(w for i, t in tokens.items() if not held[i] for w in t)
     n, v = sum(counts.values()), len(counts)
-    by_filter = {r["doc_id"]: r for r in language_model.scored(docs, by_joins=False).collect()}
-    by_joins = {r["doc_id"]: r for r in language_model.scored(docs, by_joins=True).collect()}
+    pairs = Counter(p for i, t in tokens.items() if not held[i] for p in zip(["start", *t], t))
+    n_texts = sum(not held[i] for i in texts)
+    got = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
+    errors = []
     for i, t in tokens.items():
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)
-        for got in (by_filter[i], by_joins[i]):
-            assert (got["held_out"], got["n_tokens"], got["n_known"], got["train_tokens"]) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
-            assert got["base_score"] == pytest.approx(base) and got["score"] < 0
-    near = [abs(by_filter[i]["score"] - by_joins[i]["score"]) / abs(by_joins[i]["score"]) for i in texts]
-    assert np.mean(near) < 0.01
+        bases = [(counts[w] + 1) / (n + v + 1) for w in t]
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(map(math.log10, bases)))
+        # the score with every pair's own level: the filter only errs where an absent pair or level seems present
+        want = 0.0
+        for before, w, base in zip(["start", *t], t, bases):
+            context = n_texts if before == "start" else counts[before]
+            k = pairs[before, w].bit_length()
+            both = (3 * 2 ** (k - 1) - 1) / 2 if k else 0.0
+            want += math.log10((min(both, counts[w], context) + 200 * base) / (context + 200))
+        errors.append((r["score"] - want) / len(t))
+        assert -1e-9 < errors[-1] < 0.2
+    assert np.mean(errors) < 0.01
     out = [i for i in texts if held[i]]
-    assert sum(by_filter[i]["score"] for i in out) > sum(by_filter[i]["base_score"] for i in out)
+    assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
+
+
+@pytest.mark.parametrize("rows, tokens", [(7, 40), (64, 10_000)])
+def test_chunks_and_segments_do_not_change_scores(spark, monkeypatch, rows, tokens):
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice(["base", "inss", f"r{rng.randrange(90)}"]) for _ in range(rng.randrange(0, 60)))) for i in range(250)] + [(3, None), (None, "base inss")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    whole = sorted(map(str, language_model.scored(docs).select("doc_id", "n_known", F.round("base_score", 9)).collect()))
+    for name, value in (("CHUNK_ROWS", rows), ("PART_TOKENS", tokens), ("SEGMENT_TOKENS", 50)):
+        monkeypatch.setattr(language_model, name, value)
+    small = language_model.scored(docs)
+    assert sorted(map(str, small.select("doc_id", "n_known", F.round("base_score", 9)).collect())) == whole
 
 
 def test_filter_has_no_false_absence():
     rng = np.random.default_rng(0)
-    grams = rng.integers(0, 2**64, 30_000, np.uint64)
-    n = rng.geometric(0.4, len(grams))
-    entries = int(language_model.level(n).sum())
-    size = language_model.segment_bits(entries)
-    held = language_model.Filter(np.zeros(language_model.SEGMENTS * size // 8, np.uint8), size)
-    base = (grams % np.uint64(language_model.SEGMENTS)).astype(np.int64) * size
-    for at in range(1, int(language_model.level(n).max()) + 1):
-        chosen = language_model.level(n) >= at
-        for place in held._places(grams[chosen], at):
-            p = base[chosen] + place
-            np.bitwise_or.at(held.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    grams = rng.integers(0, 2**40, 30_000, np.uint64)
+    levels = language_model.level(rng.geometric(0.4, len(grams)))
+    held = language_model.Filter.of(grams, levels)
+    assert len(held.bits) <= levels.sum() + 8
     found = held.levels(grams)
-    assert (found >= language_model.level(n)).all() and (found == language_model.level(n)).mean() > 0.9
-    assert (held.levels(rng.integers(0, 2**64, 30_000, np.uint64)) > 0).mean() < 0.08
+    assert (found >= levels).all() and (found == levels).mean() > 0.9
+    assert (held.levels(rng.integers(0, 2**40, 30_000, np.uint64)) > 0).mean() < 0.08
 
 
 def test_toxicity_on_held_out_texts(spark):
