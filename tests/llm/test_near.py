@@ -189,3 +189,25 @@ def test_near_duplicate_stage_equals_all_pairs(spark):
     assert got == want
     docs = frame(spark, texts).selectExpr("doc_id", "text", "'pt' AS lang", "'a' AS source", "length(text) AS n_chars")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want.values())
+
+
+def test_texts_with_a_common_part_are_not_all_compared(spark, monkeypatch):
+    """Texts that share 200 of 260 words share bands without being similar; the pairs made grow with the texts, not with their square."""
+    made = []
+    compare = near._Groups.compare
+
+    def counted(self, pairs):
+        pairs = pairs.distinct()
+        made[-1] += pairs.count()
+        compare(self, pairs)
+
+    monkeypatch.setattr(near._Groups, "compare", counted)
+    common = " ".join(f"comum{i}" for i in range(200))
+    for n in (100, 200):
+        made.append(0)
+        texts = [(i, common + " " + " ".join(f"proprio{i}x{j}" for j in range(60))) for i in range(n)]
+        # and a few pairs that are similar
+        texts += [(1000 + i, f"{common[7:]} " + " ".join(f"proprio{i}x{j}" for j in range(60))) for i in range(0, n, 20)]
+        got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+        assert all(got[1000 + i] == i for i in range(0, n, 20)) and len(set(got.values())) == n
+    assert made[1] < 2.5 * made[0] and made[1] < 200 * 15
