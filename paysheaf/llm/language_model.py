@@ -7,6 +7,7 @@ segments, each once per chunk of texts. The same step counts them, makes the seg
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,9 @@ BITS_PER_ENTRY, PROBES = 8, 4
 PRIOR_TOKENS = 200.0
 MAX_LEVEL = 48
 #: Documents of a chunk, most tokens of a part of one, tokens of a segment of the filter, about.
-CHUNK_ROWS, PART_TOKENS, SEGMENT_TOKENS = 2048, 2_000_000, 1_000_000
-#: Bytes of a pair's hash within its segment.
-PAIR_BYTES = 5
+CHUNK_ROWS, PART_TOKENS, SEGMENT_TOKENS = 4096, 2_000_000, 1_000_000
+#: Bytes of a pair's hash within its segment: of a million pairs about one in ten thousand shares its hash with another, far fewer than seem present in the filter.
+PAIR_BYTES = 4
 _CHARS_PER_TOKEN = 6
 
 
@@ -126,14 +127,16 @@ def _unpacked(data: bytes, order: int) -> np.ndarray:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, which the first byte tells."""
+    """Whole numbers, most of them small and alike, in few bytes; the first byte tells how."""
     most = int(values.max(initial=0))
     width = 1 if most < 1 << 8 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    body = values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + body if len(body) < 64 else bytes([width | 16]) + zlib.compress(body, 1)
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    body = zlib.decompress(data[1:]) if data[0] & 16 else data[1:]
+    return np.frombuffer(body, f"<u{data[0] & 15}").astype(np.int64)
 
 
 def _asked(n_segments: int):
