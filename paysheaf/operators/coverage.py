@@ -34,41 +34,63 @@ def extracted_label_keys(extracted: DataFrame, totals: DataFrame | None, keys: l
     return found.where(F.col("have") != "").distinct()
 
 
+#: Labels shorter than this are compared with all labels of their record.
+GRAM = 3
+
+
+def _grams(label: Column) -> Column:
+    """All runs of ``GRAM`` characters of a label."""
+    at = F.sequence(F.lit(1), F.length(label) - GRAM + 1)
+    return F.array_distinct(F.transform(at, lambda i: F.substring(label, i, F.lit(GRAM))))
+
+
+def _within(inner: DataFrame, short: str, outer: DataFrame, long: str, keys: list[str]) -> DataFrame:
+    """Pairs of a record's labels of which the first stands in the second: they share the first one's first run of characters."""
+    probe = inner.where(F.length(short) >= GRAM).select(*keys, short, F.substring(short, 1, GRAM).alias("_gram"))
+    index = outer.where(F.length(long) >= GRAM).select(*keys, long, F.explode(_grams(F.col(long))).alias("_gram"))
+    return probe.join(index, [*keys, "_gram"]).where(F.contains(long, F.col(short))).select(*keys, short, long)
+
+
 def missing_summaries(expected: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Expected summary labels without an extracted label that equals, contains or lies within them.
 
-    Equal keys are settled first by a plain join; only the rest compares by containment.
+    Equal keys are settled first by a plain join; the rest meets through an index of three-character runs, so a
+    record's labels are not compared each with each. Very short labels are.
     """
     wanted = expected.withColumn("want", label_key(F.col("label")))
     open_labels = wanted.join(have.withColumnRenamed("have", "want"), [*keys, "want"], "left_anti")
-    right = have.select(*[F.col(k).alias(f"_{k}") for k in keys], "have")
-    condition = F.contains("have", "want") | F.contains("want", "have")
-    for k in keys:
-        condition = (F.col(k) == F.col(f"_{k}")) & condition
-    return open_labels.join(right, condition, "left_anti").drop("want")
+    wants, have = open_labels.select(*keys, "want").distinct(), have.select(*keys, "have")
+    met = _within(wants, "want", have, "have", keys).select(*keys, "want")
+    met = met.union(_within(have, "have", wants, "want", keys).select(*keys, "want"))
+    short_want = wants.where((F.length("want") < GRAM)).join(have, keys).where(F.contains("have", F.col("want")) | F.contains("want", F.col("have")))
+    short_have = have.where(F.length("have") < GRAM).join(wants, keys).where(F.contains("want", F.col("have")))
+    met = met.union(short_want.select(*keys, "want")).union(short_have.select(*keys, "want")).distinct()
+    return open_labels.join(met, [*keys, "want"], "left_anti").select(*expected.columns)
 
 
 def coverage(
     expected_codes: DataFrame, expected_summaries: DataFrame, lost_codes: DataFrame, lost_summaries: DataFrame,
     extracted: DataFrame, records: DataFrame, keys: list[str], totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Visible, missing and covered share per record (``records`` carries text_length); a record with only totals has something."""
-    def n(df: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
-        return df.groupBy(*keys).agg((F.count("*") if condition is None else F.count_if(condition)).alias(name))
-
-    parts = [
-        n(expected_codes, "codes"), n(expected_summaries, "summaries"), n(lost_codes, "lost_codes"), n(lost_summaries, "lost_summaries"),
-        extracted.groupBy(*keys).agg(F.count_if(F.col("kind") == "field").alias("fields"), F.count_if(F.col("kind") == "base").alias("bases")),
-    ]
+    """Visible, missing and covered share per record (``records`` carries text_length); a record with only totals has something.
+
+    All inputs are counted in one aggregate over their union, which adds up before the shuffle.
+    """
+    names = ["record", "codes", "summaries", "lost_codes", "lost_summaries", "fields", "bases", "totals"]
+
+    def part(df: DataFrame, length: Column | None = None, **counts: Column) -> DataFrame:
+        counted = [F.coalesce(counts[c].cast("long"), F.lit(0)).alias(c) if c in counts else F.lit(0).cast("long").alias(c) for c in names]
+        return df.select(*keys, *counted, (F.lit(None).cast("long") if length is None else length.cast("long")).alias("text_length"))
+
+    one = F.lit(1)
+    union = part(records, F.col("text_length"), record=one)
+    for name, df in (("codes", expected_codes), ("summaries", expected_summaries), ("lost_codes", lost_codes), ("lost_summaries", lost_summaries)):
+        union = union.union(part(df, **{name: one}))
+    union = union.union(part(extracted, fields=F.col("kind") == "field", bases=F.col("kind") == "base"))
     if totals is not None:
-        filled = [trim_ws(F.col(n)) != "" for n in TOTALS]
-        parts.append(totals.groupBy(*keys).agg(F.count_if(F.coalesce(filled[0], F.lit(False)) | F.coalesce(filled[1], F.lit(False)) | F.coalesce(filled[2], F.lit(False))).alias("totals")))
-    else:
-        records = records.withColumn("totals", F.lit(0).cast("long"))
-    df = records
-    for part in parts:
-        df = df.join(part, keys, "left")
-    df = df.na.fill(0, ["codes", "summaries", "lost_codes", "lost_summaries", "fields", "bases", "totals"])
+        filled = [F.coalesce(trim_ws(F.col(n)) != "", F.lit(False)) for n in TOTALS]
+        union = union.union(part(totals, totals=filled[0] | filled[1] | filled[2]))
+    df = union.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], F.max("text_length").alias("text_length")).where("record > 0")
     visible, missing = F.col("codes") + F.col("summaries"), F.col("lost_codes") + F.col("lost_summaries")
     some = (F.col("fields") > 0) | (F.col("bases") > 0) | (F.col("totals") > 0)
     share = F.when(visible > 0, F.greatest(F.lit(0.0), (visible - missing) / visible)).otherwise(F.when(some, 1.0).otherwise(0.0))

@@ -38,18 +38,25 @@ def visual_lines(tokens: DataFrame, keys: list[str] = PAGE, step: int = 4) -> Da
 def cluster_lines(tokens: DataFrame, keys: list[str] = PAGE, tolerance: float = 3.0) -> DataFrame:
     """Tokens with the line each joins: the first line within ``tolerance`` of its first token.
 
-    Lines open in token order.  Which line a token joins depends on its height only, so
-    the fold runs over the distinct heights of the page.
+    Lines open in token order.  Which line a token joins depends on its height only, and
+    heights further apart than ``tolerance`` know nothing of each other: a sweep over the sorted heights
+    cuts the page where a gap is wider, and the fold runs over the heights between two gaps.
     """
     live = filled(tokens)
     heights = live.groupBy(*keys, "y").agg(F.min("item_ord").alias("at"))
-    page = heights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "y"))).alias("ys"))
+    sweep = Window.partitionBy(*keys).orderBy("y")
+    parted = heights.withColumn("_far", (F.col("y") - F.lag("y").over(sweep) > tolerance).cast("int"))
+    parted = parted.withColumn("_band", F.sum(F.coalesce("_far", F.lit(0))).over(sweep))
+    bands = parted.groupBy(*keys, "_band").agg(F.array_sort(F.collect_list(F.struct("at", "y"))).alias("ys"))
 
     def opened(done: Column, h: Column) -> Column:
         return F.when(F.exists(done, lambda l: F.abs(l - h["y"]) <= tolerance), done).otherwise(F.concat(done, F.array(h["y"])))
 
-    lines = F.aggregate("ys", F.expr("cast(array() as array<double>)"), opened)
-    joined = page.withColumn("lines", lines).select(*keys, "lines", F.explode("ys").alias("h")).select(
+    # heights that all reach the first one make one line
+    first = F.col("ys")[0]["y"]
+    one = F.forall("ys", lambda h: F.abs(h["y"] - first) <= tolerance)
+    lines = F.when(one, F.array(first)).otherwise(F.aggregate("ys", F.expr("cast(array() as array<double>)"), opened))
+    joined = bands.withColumn("lines", lines).select(*keys, "lines", F.explode("ys").alias("h")).select(
         *keys,
         F.col("h.y").alias("y"),
         F.element_at(F.filter("lines", lambda l: F.abs(l - F.col("h.y")) <= tolerance), 1).alias("line_y"),

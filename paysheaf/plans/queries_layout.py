@@ -400,13 +400,16 @@ def vertical_cut(spark, sf):
     "split_halves",
     with_views(
         ["v_tok"],
-        """SELECT doc_id, CAST(page AS INTEGER) AS page, side AS sub_index, count(*) AS n FROM v_tok, (VALUES ('left'), ('right')) s(side)
+        """SELECT doc_id, CAST(page AS INTEGER) AS page, side AS sub_index, count(*) AS n, string_agg(str, '|' ORDER BY item_ord) AS content, min(x) AS x_from, max(x + width) AS x_to FROM v_tok, (VALUES ('left'), ('right')) s(side)
            WHERE (side = 'left' AND x <= 320) OR (side = 'right' AND x + width >= 280) GROUP BY 1, 2, 3""",
     ),
 )
 def split_halves(spark, sf):
     toks, pages = tokens(spark, sf)
     cuts = pages.select(*PAGE, F.lit(0.0).alias("x_min"), F.lit(900.0).alias("x_max"), F.lit(300.0).alias("x_cut"))
-    return layout.split_halves(toks, cuts, PAGE).groupBy(*PAGE, "sub_index").agg(F.count("*").alias("n"))
+    return layout.split_halves(toks, cuts, PAGE).groupBy(*PAGE, "sub_index").agg(
+        F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ord", "str"))), lambda t: t["str"]), "|").alias("content"),
+        F.min("x").alias("x_from"), F.max(F.col("x") + F.col("width")).alias("x_to"),
+    )
 
 

@@ -346,7 +346,8 @@ def _signals(patterns: list[str]) -> str:
 @query(
     "document_guard",
     f"""SELECT doc_id, CASE WHEN trim(t) = '' THEN 'scanned_unknown' WHEN weak AND tc >= 1 THEN 'rejected' WHEN weak AND ot >= 1 THEN 'rejected' WHEN weak THEN 'payroll_candidate' ELSE 'payroll' END AS classification,
-          CASE WHEN trim(t) = '' THEN NULL WHEN weak AND tc >= 1 THEN {q(vocab.GUARD_REASON_TIMECARD)} WHEN weak AND ot >= 1 THEN {q(vocab.GUARD_REASON_OTHER)} END AS reason, pay AS payroll_signals
+          CASE WHEN trim(t) = '' THEN NULL WHEN weak AND tc >= 1 THEN {q(vocab.GUARD_REASON_TIMECARD)} WHEN weak AND ot >= 1 THEN {q(vocab.GUARD_REASON_OTHER)} END AS reason, pay AS payroll_signals,
+          trim(t) = '' OR (weak AND tc < 1 AND ot < 1) AS requires_visual_validation
         FROM (SELECT *, {_signals(vocab.GUARD_PAYROLL)} AS pay, {_signals(vocab.GUARD_TIMECARD)} AS tc, {_signals(vocab.GUARD_OTHER)} AS ot,
                 NOT regexp_matches(t, {q(vocab.GUARD_IDENTITY)}) AND {_signals(vocab.GUARD_PAYROLL)} < 2 AS weak
               FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(lower(strip_accents(CASE WHEN doc_id % 5 = 4 THEN '' ELSE
@@ -357,7 +358,7 @@ def document_guard(spark, sf):
     phrase = testviews._pick([*PHRASES, ""], (F.col("doc_id") % 5).cast("int"))
     body = F.when(F.col("doc_id") % 5 == 4, "").otherwise(F.concat(phrase, "text"))
     page = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), body.alias("text"))
-    return guard.classify(guard.opening_text(page)).drop("requires_visual_validation")
+    return guard.classify(guard.opening_text(page))
 
 
 def truth_and_found(spark, sf):

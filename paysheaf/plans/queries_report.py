@@ -395,6 +395,34 @@ def audit_status(spark, sf):
     return audit.document_status(audited(spark, sf))
 
 
+@query(
+    "nested_result",
+    with_views(
+        ["v_all", "v_final", "v_flag", "v_events", "v_months"],
+        """SELECT f.doc_id, f.competency, f.part, f.page_ord, f.company, f.review_required, coalesce(n_fields, 0) AS n_fields, coalesce(fields_text, '') AS fields_text,
+             coalesce(bases_text, '') AS bases_text, d.missing AS audit_missing, d.invalid AS audit_invalid,
+             CASE WHEN d.missing + d.invalid + d.inferred > 0 OR d.years > 2 OR coalesce(r.n, 0) > 0 OR coalesce(m.n, 0) > 0 THEN 'review_required' ELSE 'ok' END AS audit_status
+           FROM v_final f LEFT JOIN (SELECT doc_id, competency, count(*) FILTER (kind = 'field') AS n_fields,
+               coalesce(string_agg(canonical_key || '#' || occurrence || '=' || reference || '/' || value, ';' ORDER BY page_ord, item_ord) FILTER (kind = 'field'), '') AS fields_text,
+               coalesce(string_agg(label || '=' || value, ';' ORDER BY page_ord, item_ord) FILTER (kind = 'base'), '') AS bases_text FROM v_all GROUP BY 1, 2) a
+             ON a.doc_id = f.doc_id AND a.competency IS NOT DISTINCT FROM f.competency
+           JOIN (SELECT doc_id, count(*) FILTER (missing) AS missing, count(*) FILTER (invalid IS NOT NULL) AS invalid, count(*) FILTER (inferred) AS inferred,
+                   count(DISTINCT year) FILTER (comp IS NOT NULL) AS years FROM v_flag GROUP BY 1) d ON d.doc_id = f.doc_id
+           LEFT JOIN (SELECT doc_id, count(*) AS n FROM v_events WHERE n > 1 GROUP BY 1) r ON r.doc_id = f.doc_id
+           LEFT JOIN (SELECT doc_id, count(*) AS n FROM v_months WHERE n > 1 AND types = 1 GROUP BY 1) m ON m.doc_id = f.doc_id""",
+    ),
+)
+def nested_result(spark, sf):
+    nested = export.nested_result(final_records(spark, sf), unified(spark, sf), audit.document_status(audited(spark, sf)), KEYS)
+    printed = lambda c, of: F.array_join(F.transform(c, of), ";")
+    field = lambda i: F.concat(i["canonical_key"], F.lit("#"), i["occurrence"].cast("string"), F.lit("="), i["reference"], F.lit("/"), i["value"])
+    return nested.select(
+        *KEYS, "page.part", "page.page_ord", "page.company", "page.review_required", F.size("fields").cast("long").alias("n_fields"), printed("fields", field).alias("fields_text"),
+        printed("bases", lambda i: F.concat(i["label"], F.lit("="), i["value"])).alias("bases_text"),
+        F.col("audit.missing_evidence").alias("audit_missing"), F.col("audit.invalid_formats").alias("audit_invalid"), F.col("audit.status").alias("audit_status"),
+    )
+
+
 def metrics(spark, sf):
     """Extraction metrics per record; a third of the rows use the older column names."""
     it = raw(spark, sf)

@@ -132,15 +132,16 @@ view(
 view(
     "v_status",
     ["v_jev"],
-    """SELECT job_id, arg_max(state, seq) AS status, count(*) FILTER (event = 'retry' AND before <> 'processando') AS retry_count, max(seq) AS last_seq
+    """SELECT job_id, arg_max(state, seq) AS status, count(*) FILTER (event = 'retry' AND before <> 'processando') AS retry_count, max(seq) AS last_seq,
+         arg_max(CASE WHEN event = 'fail' THEN coalesce(nullif(error, ''), 'Erro interno no processamento do documento') ELSE '' END, seq) FILTER (event IN ('fail', 'retry')) AS last_error
        FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY job_id ORDER BY seq), 'processando') AS before
              FROM (SELECT *, CASE event WHEN 'complete' THEN 'concluido' WHEN 'fail' THEN 'erro' ELSE 'processando' END AS state FROM v_jev WHERE event <> 'progress')) GROUP BY 1""",
 )
 
 
-@query("job_status", with_views(["v_status"], "SELECT * FROM v_status"))
+@query("job_status", with_views(["v_status"], "SELECT * REPLACE (nullif(last_error, '') AS last_error) FROM v_status"))
 def job_status(spark, sf):
-    return state.job_status(job_events(spark, sf)).drop("last_error")
+    return state.job_status(job_events(spark, sf))
 
 
 PROGRESS = """SELECT job_id, arg_max(current, seq) FILTER (current IS NOT NULL) AS current, arg_max(total, seq) FILTER (total IS NOT NULL) AS total,

@@ -349,6 +349,38 @@ def coverage_summaries(spark, sf):
     return coverage.missing_summaries(wanted, have, PAGE).select("doc_id", "page", "label", "line")
 
 
+view(
+    "v_stated",
+    ["v_text"],
+    """SELECT doc_id, page, '1,00' AS total_additions, CASE WHEN page % 3 = 0 THEN ' ' END AS total_deductions, CASE WHEN page % 4 = 0 THEN '2,00' ELSE '' END AS net_value
+       FROM v_text WHERE page % 2 = 0""",
+)
+_TOTALS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, page, {duck.label_key(duck.q(label))} FROM v_stated WHERE trim(coalesce({column}, '')) <> ''" for label, column in zip(vocab.TOTAL_LABELS, coverage.TOTALS, strict=True)
+)
+
+
+view("v_have", ["v_thin", "v_stated"], f"SELECT doc_id, page, {duck.label_key('label')} AS have FROM v_thin UNION ALL {_TOTALS_SQL}")
+
+
+@query(
+    "coverage_totals",
+    with_views(
+        ["v_isum", "v_have"],
+        """SELECT doc_id, page, label, CAST(line AS INTEGER) AS line FROM v_isum s WHERE NOT EXISTS (SELECT 1 FROM v_have h
+             WHERE h.doc_id = s.doc_id AND h.page = s.page AND have <> '' AND (contains(have, key) OR contains(key, have)))""",
+    ),
+)
+def coverage_totals(spark, sf):
+    page = texts(spark, sf)
+    stated = page.where("page % 2 = 0").select(
+        "doc_id", "page", F.lit("1,00").alias("total_additions"), F.when(F.col("page") % 3 == 0, " ").alias("total_deductions"),
+        F.when(F.col("page") % 4 == 0, "2,00").otherwise("").alias("net_value"),
+    )
+    have = coverage.extracted_label_keys(thinned(spark, sf), stated, PAGE)
+    return coverage.missing_summaries(text_extract.inventory_summaries(page), have, PAGE).select("doc_id", "page", "label", "line")
+
+
 @query(
     "coverage_report",
     with_views(
