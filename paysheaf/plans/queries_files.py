@@ -9,7 +9,10 @@ from ..operators import state
 from ..sources import readers, sinks, testviews
 from .catalogue import query
 from .duck import view, with_views
+from .queries_items import raw
+from .queries_layout import tokens
 from .queries_state import results
+from .queries_text import texts
 
 MONTHS = ["jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"]
 _BROKEN = '{"cabecalho": {"mes_ano": "jan-20"},\n "itens": 5,,}\n'
@@ -92,3 +95,52 @@ def json_sink(spark, sf):
     df = _cells(spark, sf)
     sinks.export(df, path, "JSON")
     return spark.read.schema(df.schema).json(path)
+
+
+@query("token_source", with_views(["v_tok"], "SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(item_ord AS BIGINT) AS item_ord, str, x, y, width, CAST(NULL AS DOUBLE) AS page_height FROM v_tok"))
+def token_source(spark, sf):
+    path = session.scratch_dir(spark, "tokens")
+    tokens(spark, sf)[0].write.json(path)
+    return readers.tokens(spark, path, "json")
+
+
+@query("page_text_source", with_views(["v_text"], "SELECT doc_id, CAST(page AS INTEGER) AS page, text FROM v_text"))
+def page_text_source(spark, sf):
+    path = session.scratch_dir(spark, "texts")
+    texts(spark, sf).select("doc_id", F.col("page").cast("int").alias("page"), "text").write.parquet(path)
+    return readers.page_texts(spark, path)
+
+
+def raw_texts(spark, sf):
+    """One raw extraction text per page; odd pages use the other property names."""
+    item = {
+        "code": F.col("code"), "label": F.when(F.col("page_ord") % 2 == 0, F.col("label")), "description": F.when(F.col("page_ord") % 2 == 1, F.col("label")),
+        "reference": F.when(F.col("page_ord") % 2 == 0, F.col("reference")), "ref": F.when(F.col("page_ord") % 2 == 1, F.col("reference")),
+        "value": F.when(F.col("page_ord") % 2 == 0, F.col("value")), "amount": F.when(F.col("page_ord") % 2 == 1, F.col("value")),
+        "type": F.col("type"), "isBase": F.col("is_base"), "conflict": F.col("conflict"), "confidence": F.col("confidence"), "evidenceType": F.col("evidence_type"),
+    }
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("item_ord", F.struct(*[c.alias(n) for n, c in item.items()]).alias("i")))), lambda p: p["i"])
+    pages = raw(spark, sf).groupBy("doc_id", "page_ord", "record_key", "raw_month", "raw_year").agg(listed.alias("items"))
+    page = F.struct(F.col("page_ord").alias("pageNumber"), F.col("raw_month").alias("month"), F.col("raw_year").alias("year"), F.col("record_key").alias("recordKey"), "items")
+    return pages.select("doc_id", F.when(F.col("page_ord") % 3 == 0, F.to_json(F.struct(F.array(page).alias("pages")))).otherwise(F.to_json(page)).alias("raw_json"))
+
+
+@query(
+    "raw_extraction",
+    with_views(
+        ["v_raw", "v_page"],
+        """SELECT r.doc_id, r.page_ord AS page, p.month, p.year, r.record_key, row_number() OVER (PARTITION BY r.doc_id, r.page_ord ORDER BY r.item_ord) AS item_ord,
+             r.code, r.label, coalesce(r.reference, '') AS reference, coalesce(r.value, '') AS value, r.type, r.is_base, r.conflict, r.confidence, r.evidence_type
+           FROM v_raw r JOIN v_page p USING (doc_id, page_ord)""",
+    ),
+)
+def raw_extraction(spark, sf):
+    # each text is an extraction of its own
+    texts_of = raw_texts(spark, sf).withColumn("doc_id", F.concat_ws("#", "doc_id", F.get_json_object("raw_json", "$.pageNumber"), F.get_json_object("raw_json", "$.pages[0].pageNumber")))
+    pages = readers.raw_pages(texts_of)
+    found = readers.raw_page_items(pages).join(pages.select("doc_id", "page_ord", "page", "month", "year", "record_key"), ["doc_id", "page_ord"])
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return found.select(
+        F.substring_index("doc_id", "#", 1).alias("doc_id"), F.col("page").cast("long").alias("page"), "month", "year", "record_key", "item_ord", "code", "label",
+        blank("reference"), blank("value"), "type", "is_base", "conflict", "confidence", "evidence_type",
+    )
